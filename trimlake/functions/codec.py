@@ -277,9 +277,10 @@ DROPPED_TABLES = ("DSIG", "GDEF", "GPOS", "GSUB", "LTSH", "VDMX", "hdmx", "kern"
 
 def deobfuscate_font(data: bytes, guid: str) -> bytes:
     """An embedded font's first 32 bytes against its reversed key; the same step obfuscates."""
-    key = bytes.fromhex(re.sub(r"[^0-9A-Fa-f]", "", guid))[::-1]
-    if len(key) != 16:
+    digits = re.sub(r"[^0-9A-Fa-f]", "", guid)
+    if len(digits) != 32:
         raise Refused("key is no GUID")
+    key = bytes.fromhex(digits)[::-1]
     return bytes(b ^ key[i % 16] for i, b in enumerate(data[:32])) + data[32:]
 
 
