@@ -204,7 +204,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     used = np.flatnonzero(keep) if keep.any() else np.arange(len(got))
     w, bias = fit_ftrl([feats[i] for i in used], labels[used], max(1, len(langs)))
     rest = np.flatnonzero(~keep)
-    z = np.array([feats[i][1] @ w[feats[i][0]] + bias for i in rest]).reshape(len(rest), -1)
+    z = np.array([feats[i][1] @ w[feats[i][0]] + bias for i in rest]).reshape(len(rest), max(1, len(langs)))
     return Model(langs, w, idf, bias, fit_heat(z, labels[rest]))
 
 
