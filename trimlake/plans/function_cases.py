@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -93,6 +94,64 @@ def _zip(text: str) -> str:
     return back[-1].data.decode() if [p.name for p in back] == ["mimetype", "a.txt", "b.txt"] else "wrong order"
 
 
+def _hidden_text(png: bytes) -> str:
+    return codec.png_pixels(png)[0, :, 0].tobytes().decode()
+
+
+def _html_image(text: str) -> str:
+    """The text read back from the image inside an optimised page."""
+    old = "<html><img src='data:image/png;base64," + base64.b64encode(_plain_png(text)).decode() + "'></html>"
+    r = optimize(old.encode(), "a.html")
+    return _hidden_text(base64.b64decode(r.data.decode().partition("base64,")[2].partition("'")[0])) if r.success and r.saved.get("Image Optimization") else r.message
+
+
+def _rtf_picture(text: str) -> str:
+    """The text read back from the picture inside an optimised rich text."""
+    old = "{\\rtf1 {\\pict\\pngblip\\picw9\n" + _plain_png(text).hex() + "}}"
+    new = rtf_text.optimize_rtf(old)
+    return _hidden_text(bytes.fromhex("".join(new.partition("picw9")[2].rstrip("}").split()))) if len(new) < len(old) else "not smaller"
+
+
+def _package_image(text: str) -> str:
+    """The text read back from a picture inside an optimised document, which another document holds."""
+    page = '<w:d xmlns:w="w"/>'
+    rels = lambda to: f'<Relationships><Relationship Id="m" Target="{to}"/></Relationships>'.encode()
+    base = [Part(n, d.encode()) for n, d in DOCX.items()] + [Part("word/document.xml", page.encode())]
+    inner = write_zip([*base, Part("word/media/1.png", _plain_png(text)), Part("word/_rels/document.xml.rels", rels("media/1.png"))], best=False)
+    outer = write_zip([*base, Part("word/embeddings/a.docx", inner), Part("word/_rels/document.xml.rels", rels("embeddings/a.docx"))], best=False)
+    r = optimize(outer, "a.docx")
+    found = {p.name: p.data for p in read_zip(next(p.data for p in read_zip(r.data) if p.name.endswith("a.docx")))}
+    return _hidden_text(found["word/media/1.png"]) if r.saved.get("Embedded Package Optimization") and len(found["word/media/1.png"]) < len(_plain_png(text)) else r.message
+
+
+def _font_key(text: str) -> str:
+    key = "{00112233-4455-6677-8899-AABBCCDDEEFF}"
+    hidden = codec.deobfuscate_font(text.encode(), key)
+    return codec.deobfuscate_font(hidden, key).decode() if hidden != text.encode() else "not hidden"
+
+
+def _odt(text: str) -> str:
+    """The text read back from an optimised OpenDocument text."""
+    old = write_zip([Part("mimetype", b"application/vnd.oasis.opendocument.text"), Part("content.xml", f"<o> <text:p>{text}</text:p> </o>".encode()), Part("meta.xml", b"<m><meta:generator>g</meta:generator></m>"), Part("Thumbnails/thumbnail.png", _plain_png(text))], best=False)
+    r = optimize(old, "a.odt")
+    parts = {p.name: p.data.decode("latin-1") for p in read_zip(r.data)}
+    return parts["content.xml"].partition("<text:p>")[2].partition("</text:p>")[0] if r.success and validate(r.data, "ODT") and len(parts) == 3 else r.message
+
+
+def _epub(text: str) -> str:
+    """The text read back from an optimised e-book."""
+    opf = b'<package><item id="p" href="p.xhtml" media-type="application/xhtml+xml"/></package>'
+    old = write_zip([Part("mimetype", b"application/epub+zip"), Part("META-INF/container.xml", b"<c/>"), Part("b.opf", opf), Part("p.xhtml", f"<html><!-- {text} --><p>{text}</p></html>".encode()), Part("stray.bin", text.encode())], best=False)
+    r = optimize(old, "a.epub")
+    parts = {p.name: p.data.decode("latin-1") for p in read_zip(r.data)}
+    return parts["p.xhtml"].partition("<html><p>")[2].partition("</p>")[0] if r.success and validate(r.data, "EPUB") and len(parts) == 4 else r.message
+
+
+def _engine_text(hint: str) -> Callable[[str], str]:
+    """What the engine leaves of a text file."""
+    return lambda x: optimize(x.encode(), hint).data.decode()
+
+
 RTF = "{\\rtf1 "
 TEXT_CASES: dict[str, TextCase] = {
     "xml_strip_comments": TextCase(xml_text.strip_comments, "<a><!-- {t} -->{t}<b/><!-- open {id}", "<a>{t}<b/>"),
@@ -118,6 +177,15 @@ TEXT_CASES: dict[str, TextCase] = {
     "pdf_content": TextCase(lambda x: pdf_bytes.clean_content(x.encode()).decode(), "q Q 1 0 0 1 0.0 0 cm 1 0 0 rg 1 0 0 rg (a{t}) Tj ({id}) Tj BT ET 2 w", "1 0 0 rg\n(a{t}{id}) Tj\n2 w"),
     "zip_round_trip": TextCase(_zip, "{t}{id}", "{t}{id}"),
     "deflate_round_trip": TextCase(lambda x: codec.inflate(codec.deflate_best(x.encode())).decode(), "{t}{id}", "{t}{id}"),
+    "html_image_shrink": TextCase(_html_image, "x{t}{id}", "x{t}{id}"),
+    "rtf_picture_shrink": TextCase(_rtf_picture, "x{t}{id}", "x{t}{id}"),
+    "embedded_image_shrink": TextCase(_package_image, "x{t}{id}", "x{t}{id}"),
+    "font_key": TextCase(_font_key, "font file {t}{id}", "font file {t}{id}"),
+    "odt_optimize": TextCase(_odt, "x{t}{id}", "x{t}{id}"),
+    "epub_optimize": TextCase(_epub, "x{t}{id}", "x{t}{id}"),
+    "svg_optimize": TextCase(_engine_text("a.svg"), "<svg>\n  <g  x='1.50'/>\n <text>{t}{id}</text>\n</svg>", '<svg><g x="1.5"/><text>{t}{id}</text></svg>'),
+    "fodt_optimize": TextCase(_engine_text("a.fodt"), "<office:document  a='1'>\n <x>{t}{id}</x>\n</office:document>", '<office:document a="1"><x>{t}{id}</x></office:document>'),
+    "unknown_stays": TextCase(_engine_text(""), "{t}{id}", "{t}{id}"),
     "docx_optimize": TextCase(_docx, "x{t}{id}", "x{t}{id}"),
 }
 

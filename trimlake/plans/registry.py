@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trimlake.functions import markup
-from trimlake.functions.detect import detect_column, detect_sql
+from trimlake.functions.detect import detect_column, detect_sql, family_column
 from trimlake.operators import relational as R
 from trimlake.plans.function_cases import TEXT_CASES, text_query, text_sql
 from trimlake.plans.optimize import batch_totals, bytes_saved, format_bytes, optimize_documents, pass_totals
@@ -77,6 +77,16 @@ def detect_format(spark, sf_dir):
     return pages.unionByName(docs)
 
 
+@query(
+    f"SELECT CAST(page_id AS VARCHAR) AS id, CASE f WHEN 'HTML' THEN 'html' WHEN 'SVG' THEN 'image' WHEN 'FODT' THEN 'fodt' ELSE 'unknown' END AS family, f IN ('SVG', 'PNG', 'JPEG', 'WEBP') AS is_image FROM (SELECT page_id, {detect_sql('html', 'url')} AS f FROM pages)"
+)
+def format_families(spark, sf_dir):
+    """Family predicates from the format dimension."""
+    name = detect_column(F.col("html").cast("binary"), F.col("url"))
+    family = family_column(F.col("name"))
+    return _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), name.alias("name")).select("id", family.alias("family"), (family == "image").alias("is_image"))
+
+
 @query("SELECT sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size, min(doc_id) AS canonical, count(*) AS copies, CAST(strlen(text) * (count(*) - 1) AS BIGINT) AS bytes_saved FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
 def exact_dedup(spark, sf_dir):
     """Media deduplication's algebra over a corpus: groups of equal content."""
