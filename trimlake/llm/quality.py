@@ -26,7 +26,7 @@ MAX_REPEAT_PERCENT = 20
 LEVEL = 3
 CHUNK = 4096
 #: Fixed values: (bytes below which the row holds, least ratio, greatest ratio) for whole documents, by length.
-WHOLE_BANDS = ((256, 0.10, 1.20), (1024, 0.08, 0.95), (4096, 0.07, 0.85), (16384, 0.06, 0.80), (1 << 62, 0.05, 0.75))
+WHOLE_BANDS = ((64, 0.10, 10.0), (256, 0.10, 1.20), (1024, 0.08, 0.95), (4096, 0.07, 0.85), (16384, 0.06, 0.80), (1 << 62, 0.05, 0.75))
 #: The same for a full chunk; and the share of a document's full chunks that may break the band.
 CHUNK_BAND = (0.06, 0.85)
 CHUNK_SHARE = 0.5
