@@ -31,7 +31,10 @@ HASHED = 256
 WINDOW = 3
 WIDTH = 12
 HIDDEN = 32
+#: Places of a training step and of a scoring one; words whose symbols a worker keeps.
 BATCH = 4096
+SCORE_BATCH = 16384
+KNOWN_WORDS = 500_000
 START_DOCS = 200
 START_ROUNDS = 3
 RATE = 0.05
@@ -65,24 +68,23 @@ def vocabulary(docs: DataFrame) -> list[str]:
     return [r["word"] for r in top.collect()]
 
 
+class _Numbers(dict):
+    """Symbols of words: those of the vocabulary, and each other word's bucket from when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = SYMBOLS - HASHED + zlib.crc32(word.encode()) % HASHED
+        return i
+
+
 class Symbols:
     def __init__(self, words: list[str]):
-        # Common words are dealt over the groups in turn, then the hashed ones.
-        self.of = {w: i for i, w in enumerate(words)}
-        self.rest: dict[str, int] = {}
+        self.words = words
+        self.of = _Numbers(zip(words, range(len(words))))
 
     def ids(self, words: list[str]) -> list[int]:
-        if len(self.rest) > 500_000:
-            self.rest.clear()
-        out, of, rest = [], self.of, self.rest
-        for w in words:
-            i = of.get(w)
-            if i is None:
-                i = rest.get(w)
-                if i is None:
-                    i = rest[w] = SYMBOLS - HASHED + zlib.crc32(w.encode()) % HASHED
-            out.append(i)
-        return out
+        if len(self.of) > KNOWN_WORDS:
+            self.of = _Numbers(zip(self.words, range(len(self.words))))
+        return list(map(self.of.__getitem__, words))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, WINDOW blanks (number SYMBOLS) between and around them, and tokens of each text."""
@@ -119,23 +121,22 @@ class Network:
 
     def _forward(self, flat: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
         around = [k for k in range(-WINDOW, WINDOW + 1) if k]
-        context = flat[places[:, None] + np.array(around)]
-        x = self.w["embed"][context].reshape(len(places), -1)
+        context = flat.take(places[:, None] + np.array(around))
+        x = self.w["embed"].take(context, axis=0).reshape(len(places), -1)
         h = np.tanh(x @ self.w["hidden"] + self.w["bias"])
-        return context, x, h, _log_softmax(h @ self.w["group"] + self.w["group_bias"])
+        return context, x, h, h @ self.w["group"] + self.w["group_bias"]
 
     def log_probs(self, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Log-probability of the symbol at each place, given those around it."""
         out = np.empty(len(places), dtype=np.float64)
-        for i in range(0, len(places), BATCH):
-            at = places[i : i + BATCH]
+        for i in range(0, len(places), SCORE_BATCH):
+            at = places[i : i + SCORE_BATCH]
             _, _, h, groups = self._forward(flat, at)
             g, m = np.divmod(_spread(flat[at]), MEMBERS)
-            part = groups[np.arange(len(at)), g].astype(np.float64)
+            part = _log_prob(groups, g)
             for k, rows in _by_group(g):
-                inner = _log_softmax(h[rows] @ self.w["member"][k] + self.w["member_bias"][k])
-                part[rows] += inner[np.arange(len(rows)), m[rows]]
-            out[i : i + BATCH] = part
+                part[rows] += _log_prob(h[rows] @ self.w["member"][k] + self.w["member_bias"][k], m[rows])
+            out[i : i + SCORE_BATCH] = part
         return out
 
     def step(self, flat: np.ndarray, at: np.ndarray) -> None:
@@ -144,23 +145,20 @@ class Network:
         g, m = np.divmod(_spread(flat[at]), MEMBERS)
         n = len(at)
         grad = {}
-        d = np.exp(groups)
-        d[np.arange(n), g] -= 1
-        d /= n
+        d = _pull(groups, g, n)
         grad["group"], grad["group_bias"] = h.T @ d, d.sum(axis=0)
         dh = d @ self.w["group"].T
         grad["member"], grad["member_bias"] = np.zeros(SHAPES["member"], np.float32), np.zeros(SHAPES["member_bias"], np.float32)
         for k, rows in _by_group(g):
-            e = np.exp(_log_softmax(h[rows] @ self.w["member"][k] + self.w["member_bias"][k]))
-            e[np.arange(len(rows)), m[rows]] -= 1
-            e /= n
-            grad["member"][k], grad["member_bias"][k] = h[rows].T @ e, e.sum(axis=0)
+            own = h[rows]
+            e = _pull(own @ self.w["member"][k] + self.w["member_bias"][k], m[rows], n)
+            grad["member"][k], grad["member_bias"][k] = own.T @ e, e.sum(axis=0)
             dh[rows] += e @ self.w["member"][k].T
         dh *= 1 - h * h
         grad["hidden"], grad["bias"] = x.T @ dh, dh.sum(axis=0)
-        dx = (dh @ self.w["hidden"].T).reshape(-1, WIDTH)
+        dx = np.ascontiguousarray((dh @ self.w["hidden"].T).reshape(-1, WIDTH).T, dtype=np.float64)
         where = context.ravel()
-        grad["embed"] = np.stack([np.bincount(where, weights=dx[:, j], minlength=SYMBOLS + 1) for j in range(WIDTH)], axis=1).astype(np.float32)
+        grad["embed"] = np.stack([np.bincount(where, weights=row, minlength=SYMBOLS + 1) for row in dx], axis=1).astype(np.float32)
         for k, v in grad.items():
             self.squares[k] += v * v
             self.w[k] -= RATE * v / np.sqrt(self.squares[k])
@@ -187,16 +185,33 @@ def _by_group(g: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield k, order[edges[k] : edges[k + 1]]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums, of values far inside what 32 bits hold."""
+    np.clip(z, -60, 60, out=z)
+    e = np.exp(z)
+    return e, e @ np.ones((z.shape[1], 1), np.float32)
+
+
+def _log_prob(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one entry of each row."""
+    _, total = _exp(z)
+    return z[np.arange(len(z)), at].astype(np.float64) - np.log(total[:, 0].astype(np.float64))
+
+
+def _pull(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of the mean log-loss over n rows, for some of them."""
+    e, total = _exp(z)
+    e /= total
+    e[np.arange(len(z)), at] -= 1
+    e /= n
+    return e
 
 
 def _mean(table: pa.Table) -> tuple[bytes, int]:
     """Weights averaged by tokens, and the tokens."""
-    rows = sorted(zip(table.column("pid").to_pylist(), table.column("tokens").to_pylist(), table.column("weights").to_pylist()))
-    total = sum(r[1] for r in rows)
-    out = sum(np.frombuffer(r[2], dtype="<f4").astype(np.float64) * r[1] for r in rows) / total
+    rows = sorted(zip(table.column("tokens").to_pylist(), table.column("weights").to_pylist()))
+    total = sum(r[0] for r in rows)
+    out = sum(np.frombuffer(r[1], dtype="<f4").astype(np.float64) * r[0] for r in rows) / total
     return out.astype("<f4").tobytes(), total
 
 
@@ -225,8 +240,8 @@ def fit(docs: DataFrame) -> tuple[list[str], bytes]:
         return pa.table({"pid": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([weights], pa.binary())})
 
     rows = cut(texts.mapInArrow(run, schema))
-    while rows.count() > FAN:
-        rows = cut(rows.withColumn("up", F.floor(F.col("pid") / FAN)).groupBy("up").applyInArrow(mean, schema))
+    while rows.count() > 1:
+        rows = cut(rows.withColumn("up", F.floor(F.col("pid") / FAN)).drop("pid").withColumnRenamed("up", "pid").groupBy("pid").applyInArrow(mean, schema))
     last = rows.toArrow()
     return words, _mean(last)[0] if last.num_rows else net.dump()
 
