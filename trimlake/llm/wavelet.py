@@ -38,7 +38,10 @@ END_ID = 2
 SHARD_TOKENS = 1 << 19
 #: Bits of a plane for which one count of the ones before them is kept.
 BLOCK = 512
-STORE = 400_000
+#: Distinct words in a worker's store, of which there are two; words encoded as one text; shards that a task reads.
+STORE = 500_000
+JOINED = 4000
+READ_SHARDS = 8
 MAGIC = b"TLWM1\n"
 
 _WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -49,7 +52,11 @@ _PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞]*+")
 
 
 class Encoder:
-    """The library's encoder, asked once for each distinct word of its own pattern."""
+    """The library's encoder, asked once for each distinct word of its own pattern.
+
+    Words of a blank and letters stay apart when they follow one another, so many are encoded as one text, whose ids are cut where
+    the bytes of the tokens reach the ends of the words.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,21 +64,45 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # a token's characters stand for one byte each
+        for token, i in vocab.items():
+            self.size[i] = len(token)
         self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(self.size[ids])
+            cuts = (4 * (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *cuts], cuts))
+
+    def _learn(self, words: set[str]) -> None:
+        """Words that are not in the store enter it; when it is full, it becomes the older one, from which words are taken back."""
+        if len(self.store) > STORE:
+            self.store, self.older = {}, self.store
+        new = words.difference(self.store)
+        back = new.intersection(self.older)
+        self.store.update((w, self.older[w]) for w in back)
+        new -= back
+        apart = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        self.store.update(zip(apart, self._joined(apart)))
+        rest = [*new.difference(apart)]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            self.store[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.store) > STORE:
-            self.store = {}
         words: list[list[str] | None] = []
         for t in texts:
             if any(s in t for s in self.special) or not _PLAIN.fullmatch(t):
                 words.append(None)
             else:
                 words.append((_ASCII if t.isascii() else _ANY).findall(t))
-        new = [*{w for ws in words if ws for w in ws}.difference(self.store)]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.store[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn(set().union(*(ws for ws in words if ws)))
         store = self.store
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ws is None else b"".join([store[w] for w in ws]) for t, ws in zip(texts, words)]
 
@@ -273,7 +304,8 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     parts = parts.select(F.col("part").alias("p"), (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
     starts = shards.withColumn("inside", inside).join(parts, F.col("part") == F.col("p")).select("path", (F.col("before") + F.col("inside")).alias("start"))
-    return starts.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = -(-max(1, shards.count()) // READ_SHARDS)  # a number of its own: rows are few, but each stands for a file
+    return starts.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_wavelet_shards(spark, sf_dir: str) -> DataFrame:
