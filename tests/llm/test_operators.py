@@ -262,6 +262,34 @@ def test_pseudo_likelihood_is_a_distribution_and_learns():
     assert total == pytest.approx(1.0, rel=1e-3)
 
 
+def test_every_word_has_its_own_probability(spark, docs):
+    words, weights = pll.fit(docs)
+    net, symbols = pll.Network.load(weights), pll.Symbols(words)
+
+    def at(word, around="the of and the of and".split()):
+        flat, _ = symbols.batch([" ".join([*around[:3], word, *around[3:]])])
+        return net.log_probs(flat, np.array([pll.WINDOW + 3]))[0]
+
+    rare = [w for w, n in zip(words.words, words.counts) if n == 1 and len(w) == 8][:20]
+    unseen = ["zqxjkvwp", "qqqqqqqq", "zqxjkvwq", "𝄞abcdefg"]
+    assert len({round(at(w), 6) for w in unseen}) == len(unseen) and max(map(at, unseen)) < min(map(at, rare)) - 2
+    assert sum(np.exp(at(w)) for w in words.words) <= 1.001
+    assert len(words.words) == len({w for r in docs.collect() for w in brute.WORD.findall(r["text"] or "")})
+
+
+def test_words_without_symbols(spark):
+    n = pll.SYMBOLS + 500
+    rows = [(i, " ".join(f"w{k}" for k in range(i, n, 50))) for i in range(50)] + [(50, "w7 " * 9)]
+    words = pll.vocabulary(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(words.words) == n and words.tokens == n + 9 and words.words[0] == "w7"
+    inner, outside = words.inner()
+    assert len(inner) == n - pll.OTHER and np.exp(inner).sum() + np.exp(outside) == pytest.approx(1)
+    shares = np.bincount(pll.CLASS[: pll.SYMBOLS], weights=np.exp(words.shares()))
+    assert shares == pytest.approx(np.ones(pll.CLASSES))
+    few = pll.Characters({" a": 3, "ab": 2, "b ": 2, "a ": 1})
+    assert few.log_prob("ab") > few.log_prob("ba") > few.log_prob("zz")
+
+
 @pytest.mark.parametrize("seed", range(200))
 def test_banded_distance(seed):
     rng = random.Random(seed)

@@ -1,19 +1,25 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both of its sides.
 
-Symbols are the commonest words of the whole corpus, and hash buckets for the rest. The network sees the WINDOW symbols before and
-after a place, not the place itself, and predicts its symbol in two steps (a group, then a member), so a token costs twice the
-root of the number of symbols. After a short start on a bounded sample, every task trains on all of its own
+The vocabulary is every word that the whole corpus holds often enough; it grows with the corpus (as does the count asked for, by the
+root of its tokens). The network sees the classes of the WINDOW words before and after a place, not the place itself, and predicts the
+place's class in two steps (a group, then a member), so a token costs twice the root of the number of classes. The commonest words are a
+class each; the next ones, up to SYMBOLS, share classes and have their share of their class's tokens as the probability inside it; all others
+share the last class, where a word has its discounted share of the tokens there, and what is left goes to words outside the vocabulary
+by a model of characters that ends words too. So every token's own probability is summed, and those of all words add up to 1 at most.
+
+After a short start on a bounded sample, every task trains on all of its own
 documents and the tasks' weights are averaged, by tokens, in a tree. A document's score is the sum of its tokens' conditional log-probabilities.
 
-Defined results: a null or empty text has no tokens, sum 0 and mean null; with no words anywhere the network stays as it began.
+Defined results: a null or empty text has no tokens, sum 0 and mean null; a word of more than LONGEST characters is outside the vocabulary; with no words anywhere the network stays as it began.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,18 @@ from trimlake.llm.common import cut, text_of, tune
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GROUPS = 32
 MEMBERS = 32
-SYMBOLS = GROUPS * MEMBERS
-HASHED = 256
+CLASSES = GROUPS * MEMBERS
+#: Classes of more than one word: the last for words without a symbol of their own, the others for symbols dealt over them in turn.
+SHARED = 256
+OWN = CLASSES - SHARED
+#: Symbols: the commonest words, and the last one for all others.
+SYMBOLS = 32 * CLASSES
+OTHER = SYMBOLS - 1
+#: A place's number holds its symbol in the low bits and, above them, the word's log-probability inside the symbol, in steps of 1 / STEPS.
+LOW_BITS = 20
+LOW = (1 << LOW_BITS) - 1
+STEPS = 1 << 16
+LEAST_INNER = -1e8
 WINDOW = 3
 WIDTH = 12
 HIDDEN = 32
@@ -41,53 +57,151 @@ RATE = 0.05
 #: Longest word that can be a symbol of its own; distinct words that a task counts before it hands them on.
 LONGEST = 64
 COUNT_WORDS = 300_000
+#: A word is in the vocabulary from a count of the root of all tokens over RARE (1 at least); what a counted word gives to unseen ones.
+RARE = 300
+DISCOUNT = 0.5
+#: Counts that a character's following ones share by how common they are; code points.
+PRIOR = 4.0
+CODES = 0x110000
 #: Rows averaged at once.
 FAN = 32
 
 
+def _counted(column: str, kind: Iterator[Counter]) -> Iterator[pa.RecordBatch]:
+    """Counters as rows of a key, which may be null, and n."""
+    for seen in kind:
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], [column, "n"])
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
+    """Words and counts; all words over LONGEST count under null."""
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    def counters() -> Iterator[Counter]:
+        seen: Counter[str | None] = Counter()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                seen.update(w if len(w) <= LONGEST else None for w in WORD.findall(t))
+            if len(seen) > COUNT_WORDS:
+                yield seen
+                seen = Counter()
+        yield seen
 
-    for b in batches:
-        for t in b.column("text").to_pylist():
-            seen.update(WORD.findall(t))
-        if len(seen) > COUNT_WORDS:
-            yield out()
-            seen.clear()
-    yield out()
+    return _counted("word", counters())
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The commonest words of all documents, ties by code point."""
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbouring characters of distinct words; a blank stands before and after a word."""
+
+    def counters() -> Iterator[Counter]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for w in b.column("word").to_pylist():
+                w = f" {w} "
+                seen.update(map("".join, zip(w, w[1:])))
+            if len(seen) > COUNT_WORDS:
+                yield seen
+                seen = Counter()
+        yield seen
+
+    return _counted("pair", counters())
+
+
+class Characters:
+    """Log-probabilities of words as runs of characters, each by the one before it, with a share for any character at all."""
+
+    def __init__(self, pairs: dict[str, int]):
+        follow: Counter[str] = Counter()
+        lead: Counter[str] = Counter()
+        for p, n in pairs.items():
+            lead[p[0]] += n
+            follow[p[1]] += n
+        all_ = sum(follow.values())
+        alone = {c: (n + 1 / CODES) / (all_ + 1) for c, n in follow.items()}
+        rest = 1 / CODES / (all_ + 1)
+        self.pair = {p: math.log((n + PRIOR * alone[p[1]]) / (lead[p[0]] + PRIOR)) for p, n in pairs.items()}
+        self.back = {c: math.log(PRIOR / (n + PRIOR)) for c, n in lead.items()}
+        self.alone, self.rest = {c: math.log(x) for c, x in alone.items()}, math.log(rest)
+
+    def log_prob(self, word: str) -> float:
+        pair, total = self.pair, 0.0
+        w = f" {word} "
+        for p in map("".join, zip(w, w[1:])):
+            x = pair.get(p)
+            total += self.back.get(p[0], 0.0) + self.alone.get(p[1], self.rest) if x is None else x
+        return total
+
+
+class Vocabulary(NamedTuple):
+    """Words from the commonest on, ties by code point, their counts, the corpus's tokens, and its pairs of characters."""
+
+    words: list[str]
+    counts: np.ndarray
+    tokens: int
+    pairs: dict[str, int]
+
+    def inner(self) -> tuple[np.ndarray, float]:
+        """Log-probabilities, among the words without a symbol, of those in the vocabulary, and of being outside it."""
+        given = self.counts[OTHER:] - DISCOUNT
+        others = self.tokens - int(self.counts[:OTHER].sum()) + 1
+        return np.log(given / others), math.log((others - given.sum()) / others)
+
+    def shares(self) -> np.ndarray:
+        """Log-probability of each symbol inside its class."""
+        n = np.zeros(SYMBOLS)
+        n[: min(len(self.counts), OTHER)] = self.counts[:OTHER]
+        n = np.maximum(n, 0.01)
+        return np.log(n / np.bincount(CLASS[:SYMBOLS], weights=n, minlength=CLASSES)[CLASS[:SYMBOLS]])
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The words of all documents that are common enough, and what is needed to score the others."""
     tune(docs.sparkSession)
-    words = docs.select(text_of().alias("text")).mapInArrow(_word_counts, "word string, n long").where(F.length("word") <= LONGEST)
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SYMBOLS - HASHED)
-    return [r["word"] for r in top.collect()]
+    words = docs.select(text_of().alias("text")).mapInArrow(_word_counts, "word string, n long")
+    words = cut(words.groupBy("word").agg(F.sum("n").alias("n")))
+    tokens = words.agg(F.sum("n")).first()[0] or 0
+    least = max(1, int(math.sqrt(tokens) / RARE))
+    top = words.where(F.col("word").isNotNull() & (F.col("n") >= least)).toArrow()
+    n, names = np.asarray(top.column("n"), dtype=np.int64), top.column("word").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (-n[i], names[i]))
+    pairs = words.where(F.col("word").isNotNull()).select("word").mapInArrow(_pair_counts, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = pairs.where(F.col("n") >= least).toArrow()
+    return Vocabulary([names[i] for i in order], n[order], tokens, dict(zip(found.column("pair").to_pylist(), found.column("n").to_pylist())))
+
+
+def _number(inner: float) -> int:
+    """The number of a word without a symbol."""
+    return OTHER + (round(max(inner, LEAST_INNER) * STEPS) << LOW_BITS)
 
 
 class _Numbers(dict):
-    """Symbols of words: those of the vocabulary, and each other word's bucket from when it is first asked for."""
+    """Numbers of words: those of the vocabulary, and each other word's from when it is first asked for."""
+
+    def __init__(self, known: zip, characters: Characters, outside: float):
+        super().__init__(known)
+        self.characters, self.outside = characters, outside
 
     def __missing__(self, word: str) -> int:
-        i = self[word] = SYMBOLS - HASHED + zlib.crc32(word.encode()) % HASHED
+        i = _number(self.outside + self.characters.log_prob(word))
+        if len(word) <= LONGEST:
+            self[word] = i
         return i
 
 
 class Symbols:
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.of = _Numbers(zip(words, range(len(words))))
+    def __init__(self, words: Vocabulary):
+        inner, outside = words.inner()
+        self.words = words.words
+        self.numbers = [*range(min(len(self.words), OTHER)), *map(_number, inner.tolist())]
+        self.rest = Characters(words.pairs), outside
+        self.of = _Numbers(zip(self.words, self.numbers), *self.rest)
 
     def ids(self, words: list[str]) -> list[int]:
-        if len(self.of) > KNOWN_WORDS:
-            self.of = _Numbers(zip(self.words, range(len(self.words))))
+        if len(self.of) > len(self.words) + KNOWN_WORDS:
+            self.of = _Numbers(zip(self.words, self.numbers), *self.rest)
         return list(map(self.of.__getitem__, words))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, WINDOW blanks (number SYMBOLS) between and around them, and tokens of each text."""
+        """Numbers of all texts' words, WINDOW blanks (number SYMBOLS) between and around them, and tokens of each text."""
         blank = [SYMBOLS] * WINDOW
         flat, n = [*blank], []
         for t in texts:
@@ -95,16 +209,22 @@ class Symbols:
             n.append(len(ids))
             flat += ids
             flat += blank
-        return np.array(flat, dtype=np.int32), np.array(n, dtype=np.int64)
+        return np.array(flat, dtype=np.int64), np.array(n, dtype=np.int64)
 
 
-SHAPES = {"embed": (SYMBOLS + 1, WIDTH), "hidden": (2 * WINDOW * WIDTH, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_bias": (GROUPS, MEMBERS)}
+#: Classes of symbols, and CLASSES for the blank.
+CLASS = np.arange(SYMBOLS + 1)
+CLASS[OWN:OTHER] = OWN + (CLASS[OWN:OTHER] - OWN) % (SHARED - 1)
+CLASS[OTHER:] = CLASSES - 1, CLASSES
+SHAPES = {"embed": (CLASSES + 1, WIDTH), "hidden": (2 * WINDOW * WIDTH, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, HIDDEN, MEMBERS), "member_bias": (GROUPS, MEMBERS), "share": (SYMBOLS,)}
 
 
 class Network:
     def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.w = weights or {k: (rng.standard_normal(s) * (0.0 if "bias" in k else 1 / np.sqrt(s[-2]) if k != "embed" else 0.3)).astype(np.float32) for k, s in SHAPES.items()}
+        self.w = weights or {k: (rng.standard_normal(s) * (0.0 if "bias" in k else 1 / np.sqrt(s[-2]) if k != "embed" else 0.3)).astype(np.float32) for k, s in SHAPES.items() if k != "share"}
+        if "share" not in self.w:  # of each class in equal parts
+            self.w["share"] = -np.log(np.bincount(CLASS[:SYMBOLS])[CLASS[:SYMBOLS]]).astype(np.float32)
         self.squares = {k: np.full(s, 1e-3, dtype=np.float32) for k, s in SHAPES.items()}
 
     def dump(self) -> bytes:
@@ -121,28 +241,29 @@ class Network:
 
     def _forward(self, flat: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
         around = [k for k in range(-WINDOW, WINDOW + 1) if k]
-        context = flat.take(places[:, None] + np.array(around))
+        context = _classes(flat.take(places[:, None] + np.array(around)))
         x = self.w["embed"].take(context, axis=0).reshape(len(places), -1)
         h = np.tanh(x @ self.w["hidden"] + self.w["bias"])
         return context, x, h, h @ self.w["group"] + self.w["group_bias"]
 
     def log_probs(self, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Log-probability of the symbol at each place, given those around it."""
+        """Log-probability of the word at each place, given those around it."""
         out = np.empty(len(places), dtype=np.float64)
         for i in range(0, len(places), SCORE_BATCH):
             at = places[i : i + SCORE_BATCH]
             _, _, h, groups = self._forward(flat, at)
-            g, m = np.divmod(_spread(flat[at]), MEMBERS)
+            own = flat[at]
+            g, m = np.divmod(_spread(_classes(own)), MEMBERS)
             part = _log_prob(groups, g)
             for k, rows in _by_group(g):
                 part[rows] += _log_prob(h[rows] @ self.w["member"][k] + self.w["member_bias"][k], m[rows])
-            out[i : i + SCORE_BATCH] = part
+            out[i : i + SCORE_BATCH] = part + self.w["share"][own & LOW] + (own >> LOW_BITS) / STEPS
         return out
 
     def step(self, flat: np.ndarray, at: np.ndarray) -> None:
         """One Adagrad step on the mean log-loss of some places."""
         context, x, h, groups = self._forward(flat, at)
-        g, m = np.divmod(_spread(flat[at]), MEMBERS)
+        g, m = np.divmod(_spread(_classes(flat[at])), MEMBERS)
         n = len(at)
         grad = {}
         d = _pull(groups, g, n)
@@ -158,7 +279,7 @@ class Network:
         grad["hidden"], grad["bias"] = x.T @ dh, dh.sum(axis=0)
         dx = np.ascontiguousarray((dh @ self.w["hidden"].T).reshape(-1, WIDTH).T, dtype=np.float64)
         where = context.ravel()
-        grad["embed"] = np.stack([np.bincount(where, weights=row, minlength=SYMBOLS + 1) for row in dx], axis=1).astype(np.float32)
+        grad["embed"] = np.stack([np.bincount(where, weights=row, minlength=CLASSES + 1) for row in dx], axis=1).astype(np.float32)
         for k, v in grad.items():
             self.squares[k] += v * v
             self.w[k] -= RATE * v / np.sqrt(self.squares[k])
@@ -172,9 +293,13 @@ class Network:
         return len(places)
 
 
-def _spread(symbols: np.ndarray) -> np.ndarray:
-    """Deals symbols over the groups in turn, so that common words do not share one."""
-    return symbols % GROUPS * MEMBERS + symbols // GROUPS
+def _classes(numbers: np.ndarray) -> np.ndarray:
+    return CLASS[numbers & LOW]
+
+
+def _spread(classes: np.ndarray) -> np.ndarray:
+    """Deals classes over the groups in turn, so that common words do not share one."""
+    return classes % GROUPS * MEMBERS + classes // GROUPS
 
 
 def _by_group(g: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,13 +340,14 @@ def _mean(table: pa.Table) -> tuple[bytes, int]:
     return out.astype("<f4").tobytes(), total
 
 
-def fit(docs: DataFrame) -> tuple[list[str], bytes]:
+def fit(docs: DataFrame) -> tuple[Vocabulary, bytes]:
     """The vocabulary and the network's weights, trained on every document."""
     tune(docs.sparkSession)
     words = vocabulary(docs)
     texts = docs.where(F.col("text").isNotNull()).select("text")
     first = texts.orderBy(F.xxhash64("text"), "text").limit(START_DOCS).collect()  # the start's bounded sample
     net, symbols = Network(), Symbols(words)
+    net.w["share"] = words.shares().astype(np.float32)
     for _ in range(START_ROUNDS):
         net.train(symbols.batch([r["text"] for r in first])[0])
     held = docs.sparkSession.sparkContext.broadcast((words, net.dump()))
@@ -246,7 +372,7 @@ def fit(docs: DataFrame) -> tuple[list[str], bytes]:
     return words, _mean(last)[0] if last.num_rows else net.dump()
 
 
-def score(docs: DataFrame, words: list[str], weights: bytes) -> DataFrame:
+def score(docs: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
     """doc_id, n_tokens, pll (sum of log-probabilities), mean_pll."""
     tune(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((words, weights))
