@@ -103,6 +103,33 @@ def test_quality_bands():
     assert quality.band_verdict(b"", codec) == (None, 0.0, False)
 
 
+def noise(kind: str, n: int) -> bytes:
+    """n bytes of words that are base64, hexadecimal, or letters at random."""
+    rng = random.Random(n)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    signs = {"base64": small + small.upper() + "0123456789+/", "hex": "0123456789abcdef", "letters": small, "both cases": small + small.upper()}[kind]
+    text = ""
+    while len(text) < n:
+        text += "".join(rng.choice(signs) for _ in range(rng.randint(3, 10))) + " "
+    return text[:n].encode()
+
+
+@pytest.mark.parametrize("kind, least", [("base64", 192), ("both cases", 512), ("letters", 1280), ("hex", 4096)])
+def test_noise_is_outside_the_bands(kind, least):
+    codec = quality.zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False)
+    sizes = [n for n in (192, 200, 255, 300, 383, 512, 800, 1000, 1023, 1280, 1535, 1600, 2047, 2500, 3000, 4096, 6000, 8191, 10_000, 16_384, 40_000, 100_000) if n >= least]
+    assert [n for n in sizes if quality.band_verdict(noise(kind, n), codec)[2]] == []
+
+
+def test_prose_is_below_the_ceilings(docs):
+    codec = quality.zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False)
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        if raw:
+            ratio, _, _ = quality.band_verdict(raw, codec)
+            assert ratio <= next(high for below, _, high in quality.WHOLE_BANDS if len(raw) < below)
+
+
 @pytest.mark.parametrize("table", ["docs", "edge"])
 def test_token_counts(table, request):
     import sentencepiece
