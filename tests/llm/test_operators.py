@@ -392,6 +392,42 @@ def test_large_groups_of_copies(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[i] == i for i in range(300, 340))
 
 
+def versions(apart: float, groups: int, seed: int = 2) -> list[tuple[int, str]]:
+    """Groups of six texts of 400 words: two versions that differ in a share of their words, and two copies of each that differ in 2 %."""
+    rng = random.Random(seed)
+
+    def changed(words, share):
+        out = list(words)
+        for i in rng.sample(range(len(out)), int(share * len(out))):
+            out[i] = f"x{rng.randint(0, 10**9)}"
+        return out
+
+    rows = []
+    for _ in range(groups):
+        first = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+        for head in (first, changed(first, apart)):
+            rows += [" ".join(w) for w in (head, changed(head, 0.02), changed(head, 0.02))]
+    return list(enumerate(rows))
+
+
+def test_versions_of_a_text_meet(spark):
+    got = dict(near_dups.classes(spark.createDataFrame(versions(0.1, 60), "doc_id long, text string")).select("doc_id", "class_id").collect())
+    assert sum(got[6 * g] == got[6 * g + 3] for g in range(60)) >= 0.85 * 60
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_word_counts_lose_no_similar_pair(seed):
+    rng = random.Random(seed)
+    a = [rng.randint(0, 40) for _ in range(rng.randint(1, 60))]
+    b = list(a)
+    for _ in range(rng.randint(0, 16)):
+        i = rng.randint(0, len(b))
+        b = rng.choice([b[:i] + b[i + 1 :], b[:i] + [rng.randint(0, 40)] + b[i:], b[:i] + [rng.randint(0, 40)] + b[i + 1 :]])
+    x, y = (near_dups.bags([near_dups.bag(np.array(w, dtype=np.uint64))])[0] for w in (a, b))
+    may = near_dups.within_edits(x, y, np.int64(len(a)), np.int64(len(b)))
+    assert may or not near_dups.similar(list(map(str, a)), list(map(str, b)))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
