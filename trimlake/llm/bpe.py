@@ -1,10 +1,13 @@
-"""BPE encoding by a depth-first walk over a trie of distinct words, and decoding.
+"""BPE encoding and decoding by a depth-first walk over a trie of distinct words.
 
-The words of a batch that are not known yet go into a trie. Walking it depth first, every prefix gets its last token: the one
+The words of a batch that are not known yet form a trie, held as the words in order: read one after the other they are its depth-first walk,
+and what a word shares with the one before it is the path that both have in common. On the walk every prefix gets its last token, once: the one
 vocabulary entry that ends the prefix and that the merge rules leave standing next to the last token of what precedes it. A
 sequence in which all neighbours stand next to each other is the encoding, so the encoding of a prefix is that of the
-shorter prefix plus one token, and words with a common beginning share the work. Whether two tokens stand next to each other
-is found once, by running the merge rules on the two alone.
+shorter prefix plus one token, and words with a common beginning share the work. A prefix keeps its last token and where that begins; a
+word's ids are read back along these. Whether two tokens stand next to each other is found once, by running the merge rules on the two alone.
+
+Texts are cut at white space, and the words of a piece between two blanks are looked up together when the piece comes again.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,16 +27,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from trimlake.llm.common import tune
+from trimlake.llm.common import TwoGenerations, tune
 
 MODEL = "word_bpe_49k.json"
-#: Distinct words kept in a worker; beyond that the store starts anew.
-STORE = 400_000
+#: Distinct words, and pieces between blanks, in a generation of a worker's store; pairs of tokens whose meeting is remembered.
+STORE = 250_000
+PAIRS = 3_000_000
 
-# Characters whose case, composition and class are the same in every version of Unicode: others take the library's own steps.
-_PLAIN = re.compile("[\x00-įı-ɏ‐-‧‰-⁞]*+")
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
-_ANY_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+# Characters whose case, composition and class are the same in every version of Unicode, without controls that Python alone takes for white space: others take the library's own steps.
+_PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ‐-‧‰-⁞]*+")
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
 
 
@@ -58,14 +62,13 @@ class WordTrieBpe:
         self.final = {i for t, i in self.vocab.items() if t.endswith(END) and len(t) > len(END)}
         self.ending = {self.tokens[i][: -len(END)]: i for i in self.final}
         self.inner = {t: i for t, i in self.vocab.items() if i not in self.final and t not in self.special}
-        self.coded = {i: i.to_bytes(4, "little") for i in self.tokens}
         self.longest = max(map(len, (*self.ending, *self.inner)))
         self.library = Tokenizer.from_file(path)
         self.bytes = byte_alphabet()
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self._beside: dict[int, bool] = {}
-        self._store: dict[str, tuple[int, bytes, str]] = {}
-        self._stored_bytes: dict[str, tuple[int, bytes, str]] = {}
+        self.words = TwoGenerations(STORE)
+        self.pieces = TwoGenerations(STORE)
 
     def symbols(self, i: int) -> list[str]:
         token = self.tokens[i]
@@ -90,12 +93,11 @@ class WordTrieBpe:
         before = [] if a < 0 else self.symbols(a)
         return self.merged([*before, *self.symbols(b)]) == [self.tokens[x] for x in (a, b) if x >= 0]
 
-    def _last(self, prefix: str, lasts: list[int], entries: dict[str, int]) -> tuple[int, int]:
-        """The last token of a prefix and where it begins: the longest that stands next to what precedes it."""
+    def _last(self, word: str, n: int, lasts: list[int], entries: dict[str, int]) -> tuple[int, int]:
+        """The last token of a word's first n characters and where it begins: the longest that stands next to what precedes it."""
         beside = self._beside
-        n = len(prefix)
         for k in range(n - self.longest if n > self.longest else 0, n):
-            i = entries.get(prefix[k:])
+            i = entries.get(word[k:n])
             if i is not None:
                 pair = (lasts[k] << 20) + i
                 ok = beside.get(pair)
@@ -103,79 +105,74 @@ class WordTrieBpe:
                     ok = beside[pair] = self._meet(lasts[k], i)
                 if ok:
                     return i, k
-        raise ValueError(f"no token ends {prefix!r}")
-
-    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, bytes, str]]]:
-        """Each word (in the byte alphabet) with its number of tokens, ids and decoded text, by a depth-first walk of their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[END] = word
-        lasts, codes = [-1], [(0, b"", "")]  # of the prefix of each length on the current path
-        stack = [*root.items()]
-        last, name, coded = self._last, self.tokens, self.coded
-        while stack:
-            prefix, node = stack.pop()
-            n = len(prefix)
-            del lasts[n:], codes[n:]
-            if END in node:
-                i, k = last(prefix, lasts, self.ending)
-                count, ids, text = codes[k]
-                yield node[END], (count + 1, ids + coded[i], f"{text} {name[i]}" if count else name[i])
-                if len(node) == 1:
-                    continue
-            i, k = last(prefix, lasts, self.inner)
-            count, ids, text = codes[k]
-            lasts.append(i)
-            codes.append((count + 1, ids + coded[i], f"{text} {name[i]}" if count else name[i]))
-            stack += [(prefix + x, child) for x, child in node.items() if x != END]
-
-    def _words(self, piece: str) -> tuple[list[str], bool]:
-        """The words of a piece without special strings; whether they are in the byte alphabet already."""
-        if piece.isascii():
-            return _ASCII_WORD.findall(piece.lower()), False
-        if _PLAIN.fullmatch(piece):
-            return _ANY_WORD.findall(unicodedata.normalize("NFC", piece).lower()), False
-        norm = self.library.normalizer.normalize_str(piece)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)], True
-
-    def _learn(self, words: set[str], in_bytes: bool) -> None:
-        store = self._stored_bytes if in_bytes else self._store
-        new = {w if in_bytes else "".join([self.bytes[x] for x in w.encode()]): w for w in words if w not in store}
-        for coded, entry in self.encode_words(new):
-            store[new[coded]] = entry
+        raise ValueError(f"no token ends {word[:n]!r}")
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes, str]]:
+        """Each word (in the byte alphabet) with its ids and decoded text, by a depth-first walk of the words' trie."""
+        lasts, begins = [-1], [0]  # of the prefix of each length on the current path
+        last, name, inner, ending = self._last, self.tokens, self.inner, self.ending
+        if len(self._beside) > PAIRS:
+            self._beside.clear()
+        path = ""
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(path, word):
+                if x != y:
+                    break
+                shared += 1
+            del lasts[shared + 1 :], begins[shared + 1 :]
+            for n in range(len(lasts), len(word)):
+                i, k = last(word, n, lasts, inner)
+                lasts.append(i)
+                begins.append(k)
+            i, k = last(word, len(word), lasts, ending)
+            ids = [i]
+            while k:
+                ids.append(lasts[k])
+                k = begins[k]
+            ids.reverse()
+            path = word
+            yield word, struct.pack(f"<{len(ids)}I", *ids), " ".join([name[i] for i in ids])
+
+    def _keys(self, part: str) -> list[str]:
+        """What a text without special strings is looked up by: its pieces, or its words in the byte alphabet after a line break."""
+        if part.isascii() and _PLAIN.fullmatch(part):
+            return part.lower().split()
+        if _PLAIN.fullmatch(part):
+            return unicodedata.normalize("NFC", part).lower().split()
+        norm = self.library.normalizer.normalize_str(part)
+        return ["\n" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+
+    def _learn(self, keys: set[str]) -> None:
+        new = self.pieces.unknown(keys)
+        signs = self.bytes
+        words = {key: [key[1:]] if key[0] == "\n" else ["".join([signs[x] for x in w.encode()]) for w in _WORD.findall(key)] for key in new if key[0] != " "}
+        known = self.words
+        for word, ids, text in self.encode_words(known.unknown(set().union(*words.values()))):
+            known.now[word] = ids, text
+        for key, ws in words.items():
+            found = [known.now[w] for w in ws]
+            self.pieces.now[key] = found[0] if len(found) == 1 else (b"".join([e[0] for e in found]), " ".join([e[1] for e in found]))
+        for key in new.difference(words):  # special strings, after a blank
+            self.pieces.now[key] = self.special[key[1:]].to_bytes(4, "little"), key[1:]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """For each text: number of tokens, ids as little-endian 32-bit integers, decoded text."""
-        if len(self._store) + len(self._stored_bytes) > STORE:
-            self._store, self._stored_bytes = {}, {}
-        cut: list[list] = []
-        fresh: tuple[set[str], set[str]] = (set(), set())
+        cut: list[list[str]] = []
         for text in texts:
-            parts: list = []
+            keys: list[str] = []
             done = 0
             for m in self.split_special.finditer(text) if "<|" in text else ():
-                parts += [self._words(text[done : m.start()]), m[0]]
+                keys += [*self._keys(text[done : m.start()]), " " + m[0]]
                 done = m.end()
-            parts.append(self._words(text[done:] if done else text))
-            for p in parts:
-                if not isinstance(p, str):
-                    fresh[p[1]].update(p[0])
-            cut.append(parts)
-        for kind in (False, True):
-            self._learn(fresh[kind], kind)
+            cut.append(keys + self._keys(text[done:]) if done else self._keys(text))
+        self._learn(set().union(*cut))
+        store = self.pieces.now
         out = []
-        for parts in cut:
-            entries: list[tuple[int, bytes, str]] = []
-            for p in parts:
-                if isinstance(p, str):
-                    entries.append((1, self.special[p].to_bytes(4, "little"), p))
-                else:
-                    store = self._stored_bytes if p[1] else self._store
-                    entries += [store[w] for w in p[0]]
-            out.append((sum([e[0] for e in entries]), b"".join([e[1] for e in entries]), " ".join([e[2] for e in entries])))
+        for keys in cut:
+            entries = [store[k] for k in keys]
+            ids = b"".join([e[0] for e in entries])
+            out.append((len(ids) // 4, ids, " ".join([e[1] for e in entries])))
         return out
 
 

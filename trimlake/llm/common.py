@@ -45,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class TwoGenerations:
+    """What was found for keys, in a worker: when the newer generation is full, it becomes the older one, from which keys that come again are taken back."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.older = most, {}, {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys that must be found; all others are in now."""
+        if len(self.now) > self.most:
+            self.now, self.older = {}, self.now
+        rest = keys.difference(self.now)
+        back = rest.intersection(self.older)
+        self.now.update((k, self.older[k]) for k in back)
+        return rest - back
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}
