@@ -179,6 +179,28 @@ def test_bpe_on_any_text(seed):
         assert np.frombuffer(g[1], "<u4").tolist() == ids and g[2] == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_bpe_on_pieces(seed):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe.MODEL))
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice([" ", "\n", "\x85", "\xa0", "\x1c", "\u3000", "the", "The", "'s", "'LL", "é", "e\u0301", "12", ".,", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "你", "ing", "ß"]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    for t, g in zip(texts, bpe.load_bpe(bpe.MODEL).encode_batch(texts)):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(g[1], "<u4").tolist() == ids and g[0] == len(ids) and g[2] == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_on_an_endless_word():
+    """Memory and time grow with the word, not with its square."""
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    coder = bpe.load_bpe(bpe.MODEL)
+    n, ids, text = coder.encode_batch([word])[0]
+    assert text.replace(" ", "") == word + bpe.END and len(ids) == 4 * n
+    assert coder.encode_batch([word[:3000]])[0][1] == np.array(coder.library.encode(word[:3000], add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 @pytest.mark.parametrize("table", ["docs", "edge"])
 def test_shards(table, request, tmp_path):
     from tokenizers import Tokenizer
@@ -199,9 +221,13 @@ def test_shards(table, request, tmp_path):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 3000])
-def test_wavelet_matrix(n):
+@pytest.mark.parametrize("block", [64, 512, 1 << 15])
+def test_wavelet_matrix(n, block, monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", block)
     ids = np.random.default_rng(n).integers(0, 60, n)
-    docs, lengths, m = wavelet.open_shard(wavelet.pack_shard([1, None], np.array([n, 0]), ids))
+    shard = wavelet.open_shard(wavelet.pack_shard([1, None], np.array([n, 0]), ids))
+    docs, lengths = shard.documents()
+    m = shard.matrix
     assert docs == [1, None] and lengths.tolist() == [n, 0] and m.all().tolist() == ids.tolist()
     for i in range(0, n, max(1, n // 40)):
         x = int(ids[i])
@@ -210,6 +236,34 @@ def test_wavelet_matrix(n):
     assert m.count(61) == 0 and m.count(1 << 20) == 0 and m.select(3, n) == -1 and m.count(3) == int((ids == 3).sum())
 
 
+def test_a_shard_is_read_in_part():
+    ids = (np.random.default_rng(0).zipf(1.2, 1 << 19) % 50_000).astype(np.uint32)
+    raw = wavelet.pack_shard([7], np.array([len(ids)]), ids)
+    read: list[int] = []
+    shard = wavelet.Shard(lambda at, size: read.append(size) or raw[at : at + size])
+    i = 300_000
+    assert shard.matrix.access(i) == ids[i] and sum(read) < 0.1 * len(raw)
+    read.clear()
+    x = int(ids[i])
+    assert shard.matrix.rank(x, i) == (ids[:i] == x).sum() and sum(read) < 0.15 * len(raw)
+    read.clear()
+    assert shard.matrix.select(x, 5) == np.flatnonzero(ids == x)[5] and sum(read) < 0.15 * len(raw)
+    assert len(raw) < 2 * len(ids)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ids_are_those_of_the_library(seed):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path(wavelet.MODEL))
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "a", "The", "'s", "é", "你好", "12", ".", "\x85", "\xa0", "\x1c", "\u3000", "𝄞", "<|endoftext|>", "x\n", " b"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += ["".join(chr(rng.choice([rng.randint(1, 127), rng.randint(128, 0x24F), rng.randint(0x2010, 0x205E)])) for _ in range(60)) for _ in range(20)]
+    texts += [c * 30_000 for c in (" ", "\n", "x", "ab", "^", " a")] if not seed else []
+    for t in texts:
+        assert np.frombuffer(wavelet.load_encoder(wavelet.MODEL).encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("table", ["docs", "edge"])
 def test_mix(table, request):
     df = request.getfixturevalue(table)

@@ -1,8 +1,9 @@
 """Token ids in succinct files: a wavelet matrix a shard.
 
 A shard holds the ids of consecutive documents as bit planes, the most significant first; each plane is stored in the order
-that the planes above it leave (their zeros first, then their ones). With the number of ones before every block, one
-compressed file answers: the id at a place, how often an id occurs before a place, and where its k-th occurrence is.
+that the planes above it leave (their zeros first, then their ones). A plane is cut into blocks that are compressed one by one; a directory at the head
+of the file holds where each block begins and the number of ones before it. So one compressed file answers, from its directory and
+one or two blocks a plane: the id at a place, how often an id occurs before a place, and where its k-th occurrence is.
 
 Documents are dealt by ranges of doc_id (a sample sets the bounds), sorted, encoded, and written as shards of about
 SHARD_TOKENS ids; a file is written under a name of its own and renamed, so a task that runs again replaces like by like. The start
@@ -19,92 +20,60 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trimlake.llm.bpe import byte_alphabet
 from trimlake.llm.common import cut, shared_dir, text_of, tune
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 19
-#: Bits of a plane for which one count of the ones before them is kept.
-BLOCK = 512
-#: Distinct words in a worker's store, of which there are two; words encoded as one text; shards that a task reads.
-STORE = 500_000
-JOINED = 4000
+#: Bits of a block of a plane; blocks that an open shard keeps.
+BLOCK = 1 << 15
+KEPT_BLOCKS = 64
+#: Shards that a task reads.
 READ_SHARDS = 8
-MAGIC = b"TLWM1\n"
+MAGIC = b"TLWM2\n"
 
-_WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x09-\x0D\x20A-Za-z0-9]+|[\x09-\x0D\x20]+(?![^\x09-\x0D\x20])|[\x09-\x0D\x20]+")
-_ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-# Characters whose class is the same in every version of Unicode: a text with others is encoded whole by the library.
+#: Fixed value: the pattern by which the tokenizer cuts words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters whose class is the same in every version of Unicode, and a run of white space that may be too long for the pattern's look-ahead.
 _PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞]*+")
+_LONG_RUN = re.compile(r"\s{400}")
 
 
 class Encoder:
-    """The library's encoder, asked once for each distinct word of its own pattern.
+    """The ids that the tokenizers library gives.
 
-    Words of a blank and letters stay apart when they follow one another, so many are encoded as one text, whose ids are cut where
-    the bytes of the tokens reach the ends of the words.
+    Texts of plain characters are encoded by a second, quicker library with the words, ranks and pattern of the same file, which
+    gives the same ids (tests hold it against the first one); all others by the first one.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        vocab = self.library.get_vocab()
-        self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # a token's characters stand for one byte each
-        for token, i in vocab.items():
-            self.size[i] = len(token)
-        self.store: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _joined(self, words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), JOINED):
-            some = words[i : i + JOINED]
-            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.size[ids])
-            cuts = (4 * (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1)).tolist()
-            raw = ids.tobytes()
-            yield from (raw[a:b] for a, b in zip([0, *cuts], cuts))
-
-    def _learn(self, words: set[str]) -> None:
-        """Words that are not in the store enter it; when it is full, it becomes the older one, from which words are taken back."""
-        if len(self.store) > STORE:
-            self.store, self.older = {}, self.store
-        new = words.difference(self.store)
-        back = new.intersection(self.older)
-        self.store.update((w, self.older[w]) for w in back)
-        new -= back
-        apart = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        self.store.update(zip(apart, self._joined(apart)))
-        rest = [*new.difference(apart)]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            self.store[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        words: list[list[str] | None] = []
-        for t in texts:
-            if any(s in t for s in self.special) or not _PLAIN.fullmatch(t):
-                words.append(None)
-            else:
-                words.append((_ASCII if t.isascii() else _ANY).findall(t))
-        self._learn(set().union(*(ws for ws in words if ws)))
-        store = self.store
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ws is None else b"".join([store[w] for w in ws]) for t, ws in zip(texts, words)]
+        byte = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes([byte[c] for c in token]): i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.quick = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        if _PLAIN.fullmatch(text) and not _LONG_RUN.search(text) and not any(s in text for s in self.special):
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -114,41 +83,45 @@ def load_encoder(model: str) -> Encoder:
     return Encoder(model if "/" in model else public_tokenizers.path(model))
 
 
+def planes_of(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """The packed bit planes of a sequence, most significant first, and the zeros of each."""
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    planes, zeros, seq = [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    for k in range(bits - 1, -1, -1):
+        one = (seq & seq.dtype.type(1 << k)).astype(bool)
+        planes.append(np.packbits(one, bitorder="little"))
+        low = seq[~one]
+        zeros.append(len(low))
+        seq = np.concatenate([low, seq[one]])
+    return planes, zeros
+
+
 class WaveletMatrix:
-    """Bit planes over a sequence of ids, with rank and select."""
-
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = []
-        for p in planes:
-            ones = np.bitwise_count(np.pad(p, (0, -len(p) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.int64)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-        planes, zeros, seq = [], [], ids.astype(np.uint32)
-        for k in range(bits - 1, -1, -1):
-            one = (seq >> np.uint32(k) & np.uint32(1)).astype(bool)
-            planes.append(np.packbits(one, bitorder="little"))
-            low = seq[~one]
-            zeros.append(len(low))
-            seq = np.concatenate([low, seq[one]])
-        return cls(len(ids), planes, zeros)
+    """Bit planes over n ids in blocks, with rank and select. ones: for each plane, the ones before each block and, last, all; block: gives the bytes of a block of a plane."""
+
+    def __init__(self, n: int, zeros: list[int], ones: np.ndarray, block: Callable[[int, int], np.ndarray]):
+        self.n, self.zeros, self.ones = n, zeros, ones
+        self.levels = len(zeros)
+        self.block = lru_cache(maxsize=KEPT_BLOCKS)(block)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones of a plane before place i."""
-        block = i // BLOCK
-        part = self.planes[level][block * (BLOCK // 8) : (i + 7) // 8]
-        count = int(self.ranks[level][block]) + int(np.bitwise_count(part).sum())
-        return count - (int(part[-1]) >> (i % 8)).bit_count() if i % 8 else count
+        at, rest = divmod(i, BLOCK)
+        count = int(self.ones[level][at])
+        if rest:
+            part = self.block(level, at)[: (rest + 7) // 8]
+            count += int(np.bitwise_count(part).sum())
+            if rest % 8:
+                count -= (int(part[-1]) >> (rest % 8)).bit_count()
+        return count
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8]) >> (i % 8) & 1
+        at, rest = divmod(i, BLOCK)
+        return int(self.block(level, at)[rest // 8]) >> (rest % 8) & 1
 
     def access(self, i: int) -> int:
         value = 0
-        for k in range(len(self.planes)):
+        for k in range(self.levels):
             bit, ones = self._bit(k, i), self._ones(k, i)
             value = value << 1 | bit
             i = self.zeros[k] + ones if bit else i - ones
@@ -156,12 +129,12 @@ class WaveletMatrix:
 
     def _range(self, symbol: int, i: int) -> tuple[int, int]:
         """Where the occurrences of a symbol before place i end up below the last plane."""
-        if symbol >> len(self.planes):
+        if symbol >> self.levels:
             return 0, 0
         low, high = 0, i
-        for k in range(len(self.planes)):
+        for k in range(self.levels):
             a, b = self._ones(k, low), self._ones(k, high)
-            if symbol >> (len(self.planes) - 1 - k) & 1:
+            if symbol >> (self.levels - 1 - k) & 1:
                 low, high = self.zeros[k] + a, self.zeros[k] + b
             else:
                 low, high = low - a, high - b
@@ -176,16 +149,11 @@ class WaveletMatrix:
         return self.rank(symbol, self.n)
 
     def _find(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) bit of a kind in a plane."""
-        low, high = 0, self.n
-        while low < high:  # the least i with more than k such bits before i + 1
-            mid = (low + high) // 2
-            ones = self._ones(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        """Place of the k-th (from 0) bit of a kind in a plane: its block from the directory, then inside the block."""
+        before = self.ones[level] if bit else np.minimum(np.arange(len(self.ones[level])) * BLOCK, self.n) - self.ones[level]
+        at = int(np.searchsorted(before, k, side="right")) - 1
+        held = np.unpackbits(self.block(level, at), count=min(BLOCK, self.n - at * BLOCK), bitorder="little")
+        return at * BLOCK + int(np.flatnonzero(held == bit)[k - int(before[at])])
 
     def select(self, symbol: int, k: int) -> int:
         """Place of the k-th occurrence (from 0) of a symbol; -1 if there are fewer."""
@@ -193,51 +161,75 @@ class WaveletMatrix:
         if k < 0 or low + k >= high:
             return -1
         i = low + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = symbol >> (len(self.planes) - 1 - level) & 1
+        for level in range(self.levels - 1, -1, -1):
+            bit = symbol >> (self.levels - 1 - level) & 1
             i = self._find(level, bit, i - self.zeros[level] if bit else i)
         return i
 
     def all(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
         seq = np.zeros(self.n, dtype=np.uint32)
-        for k in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+        for k in range(self.levels - 1, -1, -1):
+            plane = [self.block.__wrapped__(k, b) for b in range(self.ones.shape[1] - 1)]
+            one = np.unpackbits(np.concatenate(plane), count=self.n, bitorder="little").astype(bool) if plane else np.zeros(0, bool)
             above = np.empty_like(seq)
             above[~one] = seq[: self.zeros[k]]
-            above[one] = seq[self.zeros[k] :] | np.uint32(1 << (len(self.planes) - 1 - k))
+            above[one] = seq[self.zeros[k] :] | np.uint32(1 << (self.levels - 1 - k))
             seq = above
         return seq
 
 
+#: Of a file's head, after MAGIC: documents, ids, planes, bytes of the directory and of the documents' section.
+HEAD = struct.Struct("<QQIQQ")
+
+
 def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file: header, then the sections, each compressed: which ids are known, doc ids, lengths, planes."""
-    matrix = WaveletMatrix.build(ids)
-    known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
-    plain = [known.tobytes(), np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), lengths.astype("<u8").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    """One file: head; directory (compressed): zeros of each plane, ones before and end of each block; documents (compressed): which ids are known, doc ids, lengths; blocks."""
+    planes, zeros = planes_of(ids)
     codec = zstandard.ZstdCompressor(level=3)
-    sections = [codec.compress(s) for s in plain]
-    head = struct.pack("<QQI", len(doc_ids), matrix.n, len(matrix.planes)) + np.array([*matrix.zeros, *map(len, sections)], dtype="<u8").tobytes()
-    return MAGIC + head + b"".join(sections)
-
-
-def open_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """The documents of a file, their lengths, and the matrix over their ids."""
-    if raw[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a shard of token ids")
-    at = len(MAGIC)
-    n_docs, n, bits = struct.unpack_from("<QQI", raw, at)
-    at += 20
-    numbers = np.frombuffer(raw, dtype="<u8", count=2 * bits + 3, offset=at)
-    at += numbers.nbytes
-    sections, codec = [], zstandard.ZstdDecompressor()
-    for size in map(int, numbers[bits:]):
-        sections.append(codec.decompress(raw[at : at + size], max_output_size=max(1, 8 * max(n, n_docs))))
-        at += size
-    known, ids = np.frombuffer(sections[0], dtype=np.uint8), np.frombuffer(sections[1], dtype="<i8")
-    docs = [int(d) if k else None for d, k in zip(ids, known)]
-    planes = [np.frombuffer(s, dtype=np.uint8) for s in sections[3:]]
-    return docs, np.frombuffer(sections[2], dtype="<u8").astype(np.int64), WaveletMatrix(n, planes, [int(z) for z in numbers[:bits]])
+    blocks, ones = [], []
+    for p in planes:
+        parts = [p[i : i + BLOCK // 8] for i in range(0, len(p), BLOCK // 8)]
+        ones.append(np.cumsum([0, *(int(np.bitwise_count(x).sum()) for x in parts)]))
+        blocks += [codec.compress(x.tobytes()) for x in parts]
+    table = np.concatenate([zeros, *ones, np.cumsum([0, *map(len, blocks)])]).astype("<u8")
+    known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
+    directory = codec.compress(table.tobytes())
+    documents = codec.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + lengths.astype("<u8").tobytes())
+    return b"".join([MAGIC, HEAD.pack(len(doc_ids), len(ids), len(planes), len(directory), len(documents)), directory, documents, *blocks])
+
+
+class Shard:
+    """An open file. read(offset, size) gives bytes of it: the head and the directory at once, all else when it is asked for."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        head = read(0, len(MAGIC) + HEAD.size)
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a shard of token ids")
+        self.read, self.codec = read, zstandard.ZstdDecompressor()
+        self.n_docs, n, levels, directory, self.documents_size = HEAD.unpack_from(head, len(MAGIC))
+        each = -(-n // BLOCK)
+        table = np.frombuffer(self.codec.decompress(read(len(head), directory)), dtype="<u8").astype(np.int64)
+        ones = table[levels : levels + levels * (each + 1)].reshape(levels, each + 1)
+        self.at = len(head) + directory
+        ends = self.at + self.documents_size + table[levels + ones.size :]
+
+        def block(level: int, k: int) -> np.ndarray:
+            i = level * each + k
+            return np.frombuffer(self.codec.decompress(read(int(ends[i]), int(ends[i + 1] - ends[i]))), dtype=np.uint8)
+
+        self.matrix = WaveletMatrix(n, table[:levels].tolist(), ones, block)
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """The doc ids, and the number of ids of each."""
+        raw = self.codec.decompress(self.read(self.at, self.documents_size)) if self.n_docs else b""
+        known = np.frombuffer(raw, dtype=np.uint8, count=self.n_docs)
+        ids, lengths = (np.frombuffer(raw, dtype="<i8", count=self.n_docs, offset=self.n_docs * k) for k in (1, 9))
+        return [int(d) if k else None for d, k in zip(ids, known)], lengths
+
+
+def open_shard(raw: bytes) -> Shard:
+    return Shard(lambda at, size: raw[at : at + size])
 
 
 def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -270,8 +262,7 @@ def write_shards(docs: DataFrame, folder: str, model: str = MODEL, end_id: int =
             return row
 
         for b in batches:
-            coded = encoder.encode_batch(b.column("text").to_pylist())
-            for d, c in zip(b.column("doc_id").to_pylist(), coded):
+            for d, c in zip(b.column("doc_id").to_pylist(), map(encoder.encode, b.column("text").to_pylist())):
                 names.append(d)
                 codes.append(c + end)
                 held += len(c) // 4 + 1
@@ -293,8 +284,9 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
                 with fs.open_input_stream(f"{base}/{path}") as f:
-                    docs, lengths, matrix = open_shard(f.read())
-                ids = matrix.all().astype("<u4")
+                    shard = open_shard(f.read())
+                docs, lengths = shard.documents()
+                ids = shard.matrix.all().astype("<u4")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
