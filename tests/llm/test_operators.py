@@ -143,12 +143,25 @@ def test_token_counts(table, request):
         assert r["over_limit"] == (r["n_tokens"] > 4096)
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(60))
 def test_splicing(seed):
-    sp, proven = token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    sp, pairs = token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(seed)
-    t = "".join(rng.choice(["a", "the ", "  ", "\n", "ing", "é", "你", "word", " x", "▁", "\t "]) for _ in range(rng.randint(0, 900)))
-    assert proven and token_counts.count_tokens(sp, proven, t, 60, 8)[0] == len(sp.encode(t))
+    some = [["a", "the ", "  ", "\n", "ing", "é", "你", "word", " x", "▁", "\t ", "𝄞", "\u0378"], ["你", "好", "世", "界", "は", "の", "𝄞"], ["a", "b", "x"], ["x"], ["<s>", "</s>", "<unk>", " "]][seed % 5]
+    t = "".join(rng.choice(some) for _ in range(rng.randint(0, 900)))
+    assert token_counts.count_tokens(sp, pairs, t, 60, 8)[0] == len(sp.encode(t))
+
+
+@pytest.mark.parametrize("signs", ["的一是不了人我在有他这中大来上国", "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", "x", "สวัสดีชาวโลก", "the of and "])
+def test_splicing_takes_time_in_proportion(signs):
+    """All of a text is encoded at most twice, blanks or none."""
+    sp, pairs = token_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(0)
+    t = "".join(rng.choice(signs) for _ in range(1_000_000))
+    n, chunks, _ = token_counts.count_tokens(sp, pairs, t)
+    assert n == len(sp.encode(t)) and chunks <= 2 * len(t) / token_counts.CHUNK
+    safe = token_counts.places(pairs, t)
+    assert sum(b - a for a, b, *_ in token_counts.windows(safe, len(t), token_counts.CHUNK, token_counts.OVERLAP)) <= 2 * len(t)
 
 
 @pytest.mark.parametrize("table", ["docs", "edge"])

@@ -1,11 +1,13 @@
 """Token counts with overlap resynchronisation.
 
 A huge document is encoded in overlapping chunks, with the byte offsets of the tokens. Two neighbouring chunks are spliced
-at an offset where both have a token boundary and where the vocabulary proves that no merge can cross: if no piece holds a
-word mark after another character, then nothing merges over the place between a non-blank and the blank that follows it.
-If the overlap has no such offset (one endless word), it is widened twofold, up to the whole of what remains.
+at a place where both have a token boundary and where the vocabulary proves that no merge can cross: no piece of it holds the two characters on
+either side next to each other. The places are found before anything is encoded. If the overlap has none, it is widened twofold, back to the last
+splice; if there is none at all, the chunk reaches on to the next place (or to the end of the text). So all of a text is encoded twice at
+most, with or without blanks in it.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens.
+Defined results: a null or empty text has 0 bytes and 0 tokens. A text that the model's normaliser changes otherwise than by marks for blanks,
+and one whose chunks don't agree at a place, is encoded whole.
 """
 
 from __future__ import annotations
@@ -25,67 +27,73 @@ OVERLAP = 512
 LIMIT = 4096
 
 
+MARK = "▁"
+
+
 @lru_cache(maxsize=4)
 def load_pieces(path: str):
-    """The library's processor, and whether its vocabulary proves the boundaries before blanks."""
+    """The library's processor, and the pairs of characters that some piece holds next to each other, ascending."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    mark = "▁"
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sp, not any(mark in p.lstrip(mark) for p in pieces)
-
-
-def _ends(sp, part: str) -> list[int]:
-    """Byte offsets, in the part, at which its tokens end, in order."""
-    return [p.end for p in sp.encode(part, return_type="proto").pieces]
-
-
-def _splice(left: str, ends_left: list[int], right: str, ends_right: list[int], shared: int) -> tuple[int, int, int] | None:
-    """left's last `shared` characters are right's first. The middlemost stable offset in them: (characters into right,
-    tokens of left up to it, tokens of right up to it)."""
-    head = right[:shared]
-    spots = [i for i in range(1, shared) if head[i] == " " and not head[i - 1].isspace()]
-    base = len(left[: len(left) - shared].encode())
-    in_left = {e: k + 1 for k, e in enumerate(ends_left)}
-    in_right = {e: k + 1 for k, e in enumerate(ends_right)}
-    at = {i: len(head[:i].encode()) for i in spots}
-    for i in sorted(spots, key=lambda i: abs(2 * i - shared)):
-        if at[i] in in_right and base + at[i] in in_left:
-            return i, in_left[base + at[i]], in_right[at[i]]
-    return None
-
-
-def count_tokens(sp, proven: bool, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int, int]:
+    pairs = {pair for p in pieces for pair in zip(p, p[1:])}
+    return sp, np.array(sorted(ord(a) << 21 | ord(b) for a, b in pairs), dtype=np.int64)
+
+
+def places(pairs: np.ndarray, text: str) -> np.ndarray:
+    """The places of a text, ascending, over which nothing merges: before the character of that number."""
+    codes = np.frombuffer(text.replace(" ", MARK).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    if not len(pairs):
+        return np.arange(1, len(codes))
+    both = codes[:-1] << 21 | codes[1:]
+    at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
+    return np.flatnonzero(pairs[at] != both) + 1
+
+
+def windows(safe: np.ndarray, n: int, chunk: int, overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Chunks of a text of n characters: begin, end, the places from and up to which each one's tokens count, and times that its overlap was widened."""
+    begin, last = 0, 0
+    while True:
+        stop, wide, widened = min(n, begin + chunk), overlap, 0
+        place = None
+        while stop < n and place is None:
+            low, high = np.searchsorted(safe, [max(last, stop - wide) + 1, stop])
+            if low < high:  # the middlemost
+                place = int(safe[(low + high) // 2])
+            elif stop - wide > last:
+                wide, widened = 2 * wide, widened + 1
+            else:
+                place = int(safe[high]) if high < len(safe) else n
+                stop, widened = min(n, place + overlap // 2 + 1), widened + 1
+        if stop == n:
+            yield begin, n, last, n, widened
+            return
+        yield begin, stop, last, place, widened
+        begin, last = max(last, place - overlap // 2), place
+
+
+def _upto(ends: np.ndarray, at: int) -> int | None:
+    """Tokens up to a byte offset, if a token ends there."""
+    k = int(np.searchsorted(ends, at, side="right"))
+    return k if at == 0 or k and ends[k - 1] == at else None
+
+
+def count_tokens(sp, pairs: np.ndarray, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int, int]:
     """Tokens of a text, chunks encoded, and times that an overlap was widened."""
-    if len(text) <= chunk + overlap or not proven:
+    if len(text) <= chunk + overlap or sp.normalize(text) != MARK + text.replace(" ", MARK):
         return len(sp.encode(text)), 1, 0
-    left, begin = text[:chunk], 0
-    ends = _ends(sp, left)
-    total, skip, chunks, widened = 0, 0, 1, 0  # skip: tokens of left that an earlier chunk has counted
-    while begin + len(left) < len(text):
-        stop = begin + len(left)
-        wide = overlap
-        while True:
-            wide = min(wide, len(left))
-            start = stop - wide
-            right = text[start : stop + chunk]
-            ends_right = _ends(sp, right)
-            chunks += 1
-            found = _splice(left, ends, right, ends_right, wide)
-            if found and found[1] >= skip:
-                total += found[1] - skip
-                left, ends, skip, begin = right, ends_right, found[2], start
-                break
-            if wide == len(left):  # nothing stable in all of it: one longer chunk from the same start
-                left = text[begin : stop + chunk]
-                ends = _ends(sp, left)
-                chunks += 1
-                widened += 1
-                break
-            wide *= 2
-            widened += 1
-    return total + len(ends) - skip, chunks, widened
+    total, chunks, widened = 0, 0, 0
+    for begin, stop, first, upto, wider in windows(places(pairs, text), len(text), chunk, overlap):
+        part = text[begin:stop]
+        ends = np.fromiter((p.end for p in sp.encode(part, return_type="proto").pieces), dtype=np.int64)
+        # The first chunk counts from its start, with the mark that the library sets before a text.
+        low = _upto(ends, len(part[: first - begin].encode())) if first else 0
+        high = _upto(ends, len(part[: upto - begin].encode())) if upto < len(text) else len(ends)
+        if low is None or high is None:
+            return len(sp.encode(text)), chunks + 1, widened
+        total, chunks, widened = total + high - low, chunks + 1, widened + wider
+    return total, chunks, widened
 
 
 FIELDS = "doc_id {}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long"
@@ -96,18 +104,18 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, proven = load_pieces(_path(model))
+        sp, pairs = load_pieces(_path(model))
         for b in batches:
             n_bytes = np.diff(utf8_view(b.column("text"))[1])
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-            small = [k for k, t in enumerate(texts) if len(t) <= chunk + overlap or not proven]
+            small = [k for k, t in enumerate(texts) if len(t) <= chunk + overlap]
             tokens, chunks = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
             for i in range(0, len(small), 64):
                 some = small[i : i + 64]
                 for k, ids in zip(some, sp.encode([texts[k] for k in some], num_threads=1)):
                     tokens[k] = len(ids)
             for k in set(range(len(texts))).difference(small):
-                tokens[k], chunks[k], _ = count_tokens(sp, proven, texts[k], chunk, overlap)
+                tokens[k], chunks[k], _ = count_tokens(sp, pairs, texts[k], chunk, overlap)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (n_bytes, tokens, tokens > limit, chunks))], [f.split()[0] for f in FIELDS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, FIELDS.format(docs.schema["doc_id"].dataType.simpleString()))
