@@ -2,7 +2,7 @@
 
 Four base kinds (email, ip, card, phone) have fixed definitions and always stay. The method adds spans of further kinds: a
 proposal starts from its pattern's score, a checksum (mod-97 for IBANs, Luhn for spaced card numbers, area rules for
-social security numbers) confirms or rejects it, and words near it raise the score; it is reported from ACCEPT on, unless it
+social security numbers, a least entropy for keys and tokens) confirms or rejects it, and words near it raise the score; it is reported from ACCEPT on, unless it
 overlaps a base span or an added one that starts earlier.
 
 Every pattern runs in time linear in the text. Positions are code points, the end exclusive. Defined results: a null or
@@ -12,8 +12,12 @@ empty text has no spans.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from trimlake.llm.common import tune
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "card_split", "phone_local")
+ADDED_KINDS = ("iban", "ssn", "card_split", "phone_local", "secret")
 _RANK = {k: i for i, k in enumerate(BASE_KINDS + ADDED_KINDS)}
 
 
@@ -44,6 +48,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?!
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _CARD_SPLIT = re.compile(r"(?<![0-9.])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+)-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
 
 #: Words that raise a kind's score, by how much, and how far to look on either side (code points).
 CONTEXT = {
@@ -51,12 +56,15 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security", "taxpayer"),
     "card_split": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
     "phone_local": ("phone", "tel", "call", "mobile", "fax", "telefon", "portable"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "bearer", "auth", "credential"),
 }
 CONTEXT_GAIN = 0.4
 CONTEXT_REACH = 48
 #: Score of a confirmed span without context.
-CONFIRMED = {"iban": 0.9, "ssn": 0.3, "card_split": 0.5, "phone_local": 0.3}
+CONFIRMED = {"iban": 0.9, "ssn": 0.3, "card_split": 0.5, "phone_local": 0.3, "secret": 0.4}
 ACCEPT = 0.6
+#: Bits a character that a key or token holds at least (repeated signs hold fewer).
+ENTROPY = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -75,6 +83,13 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def random_looking(s: str) -> bool:
+    """Whether a run of signs has letters, a tenth of digits, and the entropy of a key."""
+    n = Counter(s)
+    digits = sum(k for c, k in n.items() if c.isdigit())
+    return any(c.isalpha() for c in n) and 10 * digits >= len(s) and sum(k * math.log2(len(s) / k) for k in n.values()) >= ENTROPY * len(s)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from the at signs: the local part is the whole run before one, back to the last match."""
     done, at = 0, text.find("@")
@@ -121,6 +136,9 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "card_split", m.start(), m.end()
     for m in _PHONE_LOCAL.finditer(text):
         yield "phone_local", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if random_looking(m[0]):
+            yield "secret", m.start(), m.end()
 
 
 def context_score(kind: str, text: str, start: int, end: int) -> float:
@@ -136,11 +154,14 @@ def find_spans(text: str | None) -> list[Span]:
     base = base_spans(text)
     if not _DIGIT.search(text):
         return base
-    taken = sorted((s.start, s.end) for s in base)
+    starts = [s.start for s in base]
+    reach = [0, *accumulate((s.end for s in base), max)]  # of the base spans up to each one
     added: list[Span] = []
     for kind, a, b in sorted(_proposals(text), key=lambda p: (p[1], _RANK[p[0]])):
+        if reach[bisect_left(starts, b)] > a or added and a < added[-1].end:
+            continue
         score = context_score(kind, text, a, b)
-        if score >= ACCEPT and not any(x < b and a < y for x, y in taken) and not (added and a < added[-1].end):
+        if score >= ACCEPT:
             added.append(Span(kind, a, b, min(score, 1.0)))
     return sorted(base + added, key=lambda s: (s.start, _RANK[s.kind]))
 
@@ -166,7 +187,7 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
 
 
-FIELDS = "doc_id {}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FIELDS = "doc_id {}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, scores string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +197,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = find_spans(text)
             base = [s for s in spans if s.kind in BASE_KINDS]
             kinds = [s.kind for s in base]
-            rows.append((*(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-        cols = list(zip(*rows)) if rows else [()] * 6
-        kinds_ = [pa.int64()] * 4 + [pa.string()] * 2
+            rows.append((*(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans) - len(base), ",".join(f"{s.score:.2f}" for s in spans)))
+        cols = list(zip(*rows)) if rows else [()] * 8
+        kinds_ = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds_))], [f.split()[0] for f in FIELDS.split(", ")])
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """One row a document with its counts and spans. One pass, no shuffle."""
+    """One row a document with its counts and spans; scores: of each span, in the order of spans. One pass, no shuffle."""
     tune(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, FIELDS.format(docs.schema["doc_id"].dataType.simpleString()))
 
