@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -69,9 +70,29 @@ def test_pii_added_spans():
     assert kinds("IBAN GB82 WEST 1234 5698 7654 32 of") == ["iban"] and kinds("IBAN GB83 WEST 1234 5698 7654 32 of") == []
     assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
     assert kinds("credit card 4111.1111.1111.1111") == ["card_split"] and kinds("phone 212-555-0100") == ["phone_local"] and kinds("212-555-0100") == []
+    key = "40fe1b2c9d8a7f6e5d4c3b2a1f0e9d8c7b6a5f4e"
+    assert kinds(f'TOKEN = "{key}" in') == ["secret"] and kinds(f"the sum is {key}") == [] and kinds("token " + "ab" * 20) == kinds("key of internationalization1") == []
+    assert pii.redact(f'token = "{key}"!') == 'token = "<secret>"!'
     assert pii.redact("to a@b.co or +1 (212) 555-0100.") == "to <email> or <phone>." and pii.redact(None) is None
 
 
+def test_pii_spans_with_scores(spark):
+    """What the method proposes, confirms and weighs by context, beside base spans that stay."""
+    key = "9a8b7c6d5e4f30211203f4e5d6c7b8a9"
+    cases = {
+        "pay to IBAN DE89 3704 0044 0532 0130 00 now": ("iban:12:39", "1.00"),
+        "DE89 3704 0044 0532 0130 00": ("iban:0:27", "0.90"),
+        "her social security no. 123-45-6789": ("ssn:24:35", "0.70"),
+        "Visa 4111/1111/1111/1111": ("card_split:5:24", "0.90"),
+        "call 212-555-0100 or a@b.co": ("phone_local:5:17,email:21:27", "0.70,1.00"),
+        f"api key {key}, 10.0.0.1": (f"secret:8:{8 + len(key)},ip:{10 + len(key)}:{18 + len(key)}", "0.80,1.00"),
+        "part 123-45-6789, order 4111/1111/1111/1112": ("", ""),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["scores"], r["n_added"]) for r in pii.pii_spans(rows).collect()}
+    assert got == {i: (*want, sum(x.split(":")[0] in pii.ADDED_KINDS for x in want[0].split(","))) for i, want in enumerate(cases.values())}
+
+
 @pytest.mark.parametrize("seed", range(300))
 def test_pii_equals_patterns(seed):
     rng = random.Random(seed)
@@ -82,6 +103,9 @@ def test_pii_equals_patterns(seed):
 def test_pii_is_linear():
     for t in ("1" * 200_000, "a" * 200_000, "a@" * 50_000, "+1" * 50_000, "+1" + " " * 200_000, "1." * 50_000, "1 " * 50_000):
         pii.find_spans(t)
+    began = time.process_time()
+    assert len(pii.find_spans("call 212-555-0100 or a@b.co " * 36_000)) == 72_000  # a million characters
+    assert time.process_time() - began < 20
 
 
 @pytest.mark.parametrize("table", ["docs", "edge"])
@@ -341,7 +365,7 @@ def test_pseudo_likelihood(docs, edge):
 def test_pseudo_likelihood_is_a_distribution_and_learns():
     net = pll.Network()
     rng = np.random.default_rng(0)
-    flat = np.concatenate([[pll.SYMBOLS] * 3, np.tile(np.arange(5), 3000), [pll.SYMBOLS] * 3]).astype(np.int32)
+    flat = np.concatenate([[pll.SYMBOLS] * 3, np.tile(np.arange(5), 3000), [pll.SYMBOLS] * 3]).astype(np.int64)
     at = np.flatnonzero(flat < pll.SYMBOLS)
     before = net.log_probs(flat, at).mean()
     for _ in range(5):

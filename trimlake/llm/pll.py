@@ -7,8 +7,8 @@ class each; the next ones, up to SYMBOLS, share classes and have their share of
 share the last class, where a word has its discounted share of the tokens there, and what is left goes to words outside the vocabulary
 by a model of characters that ends words too. So every token's own probability is summed, and those of all words add up to 1 at most.
 
-After a short start on a bounded sample, every task trains on all of its own
-documents and the tasks' weights are averaged, by tokens, in a tree. A document's score is the sum of its tokens' conditional log-probabilities.
+The texts are read once for the counts and once for the words' numbers, which are written. After a short start on a bounded sample of documents, every
+task trains on all of its own and the tasks' weights are averaged, by tokens, in a tree. A document's score is the sum of its tokens' conditional log-probabilities.
 
 Defined results: a null or empty text has no tokens, sum 0 and mean null; a word of more than LONGEST characters is outside the vocabulary; with no words anywhere the network stays as it began.
 """
@@ -201,15 +201,8 @@ class Symbols:
         return list(map(self.of.__getitem__, words))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all texts' words, WINDOW blanks (number SYMBOLS) between and around them, and tokens of each text."""
-        blank = [SYMBOLS] * WINDOW
-        flat, n = [*blank], []
-        for t in texts:
-            ids = self.ids(WORD.findall(t))
-            n.append(len(ids))
-            flat += ids
-            flat += blank
-        return np.array(flat, dtype=np.int64), np.array(n, dtype=np.int64)
+        """_flat() of the texts' words."""
+        return _flat([np.array(self.ids(WORD.findall(t)), dtype="<i8").tobytes() for t in texts])
 
 
 #: Classes of symbols, and CLASSES for the blank.
@@ -239,42 +232,49 @@ class Network:
             at += 4 * n
         return cls(w)
 
-    def _forward(self, flat: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
-        around = [k for k in range(-WINDOW, WINDOW + 1) if k]
-        context = _classes(flat.take(places[:, None] + np.array(around)))
+    def _forward(self, classes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+        context = classes.take(places[:, None] + AROUND)
         x = self.w["embed"].take(context, axis=0).reshape(len(places), -1)
         h = np.tanh(x @ self.w["hidden"] + self.w["bias"])
         return context, x, h, h @ self.w["group"] + self.w["group_bias"]
 
+    def _members(self, h: np.ndarray, g: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
+        """What the network says of the members of each row's group; rows are in order of groups."""
+        z = np.empty((len(h), MEMBERS), np.float32)
+        for k, a, b in edges:
+            np.matmul(h[a:b], self.w["member"][k], out=z[a:b])
+        z += self.w["member_bias"].take(g, axis=0)
+        return z
+
     def log_probs(self, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Log-probability of the word at each place, given those around it."""
         out = np.empty(len(places), dtype=np.float64)
+        classes = _classes(flat)
         for i in range(0, len(places), SCORE_BATCH):
             at = places[i : i + SCORE_BATCH]
-            _, _, h, groups = self._forward(flat, at)
-            own = flat[at]
-            g, m = np.divmod(_spread(_classes(own)), MEMBERS)
-            part = _log_prob(groups, g)
-            for k, rows in _by_group(g):
-                part[rows] += _log_prob(h[rows] @ self.w["member"][k] + self.w["member_bias"][k], m[rows])
-            out[i : i + SCORE_BATCH] = part + self.w["share"][own & LOW] + (own >> LOW_BITS) / STEPS
-        return out
-
-    def step(self, flat: np.ndarray, at: np.ndarray) -> None:
+            order, g, m, edges = _by_group(classes[at])
+            _, _, h, groups = self._forward(classes, at[order])
+            part = _log_prob(groups, g) + _log_prob(self._members(h, g, edges), m)
+            out[i + order] = part
+        own = flat[places]
+        return out + self.w["share"][own & LOW] + (own >> LOW_BITS) / STEPS
+
+    def step(self, classes: np.ndarray, at: np.ndarray) -> None:
         """One Adagrad step on the mean log-loss of some places."""
-        context, x, h, groups = self._forward(flat, at)
-        g, m = np.divmod(_spread(_classes(flat[at])), MEMBERS)
+        order, g, m, edges = _by_group(classes[at])
+        context, x, h, groups = self._forward(classes, at[order])
         n = len(at)
         grad = {}
         d = _pull(groups, g, n)
         grad["group"], grad["group_bias"] = h.T @ d, d.sum(axis=0)
-        dh = d @ self.w["group"].T
+        e = _pull(self._members(h, g, edges), m, n)
+        dh = np.empty_like(h)
         grad["member"], grad["member_bias"] = np.zeros(SHAPES["member"], np.float32), np.zeros(SHAPES["member_bias"], np.float32)
-        for k, rows in _by_group(g):
-            own = h[rows]
-            e = _pull(own @ self.w["member"][k] + self.w["member_bias"][k], m[rows], n)
-            grad["member"][k], grad["member_bias"][k] = own.T @ e, e.sum(axis=0)
-            dh[rows] += e @ self.w["member"][k].T
+        for k, a, b in edges:
+            np.matmul(h[a:b].T, e[a:b], out=grad["member"][k])
+            np.matmul(e[a:b], self.w["member"][k].T, out=dh[a:b])
+        grad["member_bias"][[k for k, _, _ in edges]] = np.add.reduceat(e, [a for _, a, _ in edges], axis=0)
+        dh += d @ self.w["group"].T
         dh *= 1 - h * h
         grad["hidden"], grad["bias"] = x.T @ dh, dh.sum(axis=0)
         dx = np.ascontiguousarray((dh @ self.w["hidden"].T).reshape(-1, WIDTH).T, dtype=np.float64)
@@ -286,28 +286,31 @@ class Network:
 
     def train(self, flat: np.ndarray) -> int:
         """One pass over all tokens, in order of place within strides, so that a step sees many documents."""
-        places = np.flatnonzero(flat < SYMBOLS)
+        classes = _classes(flat)
+        places = np.flatnonzero(classes < CLASSES)
         steps = max(1, -(-len(places) // BATCH))
         for k in range(steps if len(places) else 0):
-            self.step(flat, places[k::steps])
+            self.step(classes, places[k::steps])
         return len(places)
 
 
-def _classes(numbers: np.ndarray) -> np.ndarray:
-    return CLASS[numbers & LOW]
+#: Offsets of the words that the network sees.
+AROUND = np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
 
 
-def _spread(classes: np.ndarray) -> np.ndarray:
-    """Deals classes over the groups in turn, so that common words do not share one."""
-    return classes % GROUPS * MEMBERS + classes // GROUPS
+def _classes(numbers: np.ndarray) -> np.ndarray:
+    return CLASS.take(numbers & LOW)
+
 
+def _by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order by groups; in it, each class's group and member; and of each group that occurs, its number and where it begins and ends.
 
-def _by_group(g: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(g, kind="stable")
-    edges = np.searchsorted(g[order], np.arange(GROUPS + 1))
-    for k in range(GROUPS):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
+    Classes are dealt over the groups in turn, so that common words do not share one.
+    """
+    order = np.argsort(classes % GROUPS, kind="stable")
+    m, g = np.divmod(classes[order], GROUPS)
+    edges = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+    return order, g, m, [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,22 +343,43 @@ def _mean(table: pa.Table) -> tuple[bytes, int]:
     return out.astype("<f4").tobytes(), total
 
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, bytes]:
-    """The vocabulary and the network's weights, trained on every document."""
+def numbered(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, and the numbers of the text's words as 64-bit integers."""
     tune(docs.sparkSession)
-    words = vocabulary(docs)
-    texts = docs.where(F.col("text").isNotNull()).select("text")
-    first = texts.orderBy(F.xxhash64("text"), "text").limit(START_DOCS).collect()  # the start's bounded sample
-    net, symbols = Network(), Symbols(words)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Symbols(held.value)
+        for b in batches:
+            numbers = [np.array(known.ids(WORD.findall(t)), dtype="<i8").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(numbers, pa.binary())], ["doc_id", "numbers"])
+
+    return cut(docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, numbers binary"))
+
+
+def _flat(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all texts' words, WINDOW blanks (number SYMBOLS) between and around them, and tokens of each text."""
+    blank = np.full(WINDOW, SYMBOLS, dtype="<i8").tobytes()
+    return np.frombuffer(blank + b"".join([x + blank for x in column]), dtype="<i8"), np.array([len(x) // 8 for x in column], dtype=np.int64)
+
+
+def train(rows: DataFrame, words: Vocabulary) -> bytes:
+    """The network's weights, trained on every row of numbered()."""
+    rows = rows.where(F.length("numbers") > 0).select("numbers")
+    # The start's bounded sample: the rows below a bound on their hash that so many are expected to keep.
+    bound = int(min(1.0, START_DOCS / max(1, rows.count())) * (1 << 40))
+    some = rows.where(F.pmod(F.xxhash64("numbers"), F.lit(1 << 40)) <= bound).limit(2 * START_DOCS).collect()
+    net = Network()
     net.w["share"] = words.shares().astype(np.float32)
+    first = _flat(sorted(r["numbers"] for r in some))[0]
     for _ in range(START_ROUNDS):
-        net.train(symbols.batch([r["text"] for r in first])[0])
-    held = docs.sparkSession.sparkContext.broadcast((words, net.dump()))
+        net.train(first)
+    held = rows.sparkSession.sparkContext.broadcast(net.dump())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, tokens = Network.load(held.value[1]), Symbols(held.value[0]), 0
+        own, tokens = Network.load(held.value), 0
         for b in batches:
-            tokens += own.train(known.batch(b.column("text").to_pylist())[0])
+            tokens += own.train(_flat(b.column("numbers").to_pylist())[0])
         if tokens:
             yield pa.RecordBatch.from_pydict({"pid": [TaskContext.get().partitionId()], "tokens": [tokens], "weights": [own.dump()]})
 
@@ -365,31 +389,43 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, bytes]:
         weights, tokens = _mean(table)
         return pa.table({"pid": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([weights], pa.binary())})
 
-    rows = cut(texts.mapInArrow(run, schema))
-    while rows.count() > 1:
-        rows = cut(rows.withColumn("up", F.floor(F.col("pid") / FAN)).drop("pid").withColumnRenamed("up", "pid").groupBy("pid").applyInArrow(mean, schema))
-    last = rows.toArrow()
-    return words, _mean(last)[0] if last.num_rows else net.dump()
+    nets = cut(rows.mapInArrow(run, schema))
+    while nets.count() > 1:
+        nets = cut(nets.withColumn("up", F.floor(F.col("pid") / FAN)).drop("pid").withColumnRenamed("up", "pid").groupBy("pid").applyInArrow(mean, schema))
+    last = nets.toArrow()
+    return _mean(last)[0] if last.num_rows else net.dump()
 
 
-def score(docs: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of log-probabilities), mean_pll."""
-    tune(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((words, weights))
+def fit(docs: DataFrame) -> tuple[Vocabulary, bytes]:
+    """The vocabulary and the network's weights, trained on every document."""
+    words = vocabulary(docs)
+    return words, train(numbered(docs, words), words)
+
+
+def score_numbered(rows: DataFrame, weights: bytes) -> DataFrame:
+    """doc_id, n_tokens, pll (sum of log-probabilities), mean_pll for every row of numbered()."""
+    held = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, known = Network.load(held.value[1]), Symbols(held.value[0])
+        net = Network.load(held.value)
         for b in batches:
-            flat, n = known.batch(["" if t is None else t for t in b.column("text").to_pylist()])
+            flat, n = _flat(b.column("numbers").to_pylist())
             p = np.concatenate([[0.0], np.cumsum(net.log_probs(flat, np.flatnonzero(flat < SYMBOLS)))])
             ends = np.cumsum(n)
             total = p[ends] - p[ends - n]
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "pll", "mean_pll"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, pll double, mean_pll double")
+    return rows.select("doc_id", "numbers").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, pll double, mean_pll double")
+
+
+def score(docs: DataFrame, words: Vocabulary, weights: bytes) -> DataFrame:
+    """score_numbered() for documents."""
+    return score_numbered(numbered(docs, words), weights)
 
 
 def op9_masked_pll(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, *fit(docs))
+    words = vocabulary(docs)
+    rows = numbered(docs, words)
+    return score_numbered(rows, train(rows, words))
