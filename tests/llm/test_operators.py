@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import time
 import zlib
@@ -593,22 +594,39 @@ def test_neighbours(spark):
 
 def test_estimate_bounds_hold():
     rng = np.random.default_rng(0)
-    x, turn, centre = rng.standard_normal((2000, 32)), ann.rotation(32), rng.standard_normal(32) * 0.1
-    codes = ann.encode(x, centre, turn)
-    misses = 0
-    for q in rng.standard_normal((20, 32)):
-        low, high = ann.estimate(*codes, q - centre, turn, 32)
-        true = ((x - q) ** 2).sum(axis=1)
-        misses += int(((true < low) | (true > high)).sum())
-    assert misses < 0.03 * 20 * 2000 and np.allclose(turn @ turn.T, np.eye(32))
+    x, turn, centres = rng.standard_normal((2000, 32)), ann.rotation(32), rng.standard_normal((3, 32)) * 0.1
+    own = rng.integers(0, 3, 2000)
+    codes = ann.Codes(*ann.encode(x, centres[own], turn), own, centres, turn)
+    queries = rng.standard_normal((20, 32))
+    middle, slack = codes.estimate(queries)
+    true = ((x[:, None] - queries[None]) ** 2).sum(axis=2)
+    assert (np.abs(true - middle) > ann.EPSILON * slack + 1e-4).mean() < 0.03 and np.allclose(turn.T @ turn, np.eye(32)) and turn.shape == (256, 32)
+
+
+def test_recall_and_share_measured(spark):
+    """More than 50 lists of which not all are looked into: nine of ten neighbours are found, and few vectors are measured."""
+    rng = np.random.default_rng(1)
+    middles = rng.standard_normal((40, 48))
+    x = (middles[rng.integers(0, 40, 9000)] + 0.9 * rng.standard_normal((9000, 48))).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    want = exact(rows, 300, 10)
+    df = vectors(spark, rows)
+    index = ann.Index(df)
+    pairs, _ = index.survivors(300)
+    assert index.lists[48] >= 50 and math.ceil(ann.SHARE * index.lists[48]) < index.lists[48] and pairs.count() < 0.2 * len(want) * len(rows)
+    got = ann.nearest(df, 300).collect()
+    assert len(got) == 10 * len(want) and sum((r["vec_id"] in {j for _, j in want[r["query_id"]]}) for r in got) >= 0.9 * len(got)
+    scores = {(q, j): s for q, w in want.items() for s, j in w}
+    assert all(r["score"] == pytest.approx(scores[r["query_id"], r["vec_id"]], rel=1e-12) for r in got if (r["query_id"], r["vec_id"]) in scores)
+    whole = ann.nearest(df, 300, share=1.0, epsilon=math.inf).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in whole) == [(q, i + 1, j) for q, w in sorted(want.items()) for i, (_, j) in enumerate(w)]
 
 
 def test_recall_on_the_table(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
-    rows = [(r[0], r[1]) for r in df.collect()]
-    want = exact(rows, 100, 10)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    want = exact([(r[0], r[1]) for r in df.collect()], 100, 10)
     got = ann.nearest(df).collect()
-    assert sum((r["vec_id"] in {j for _, j in want[r["query_id"]]}) for r in got) >= 0.9 * sum(map(len, want.values()))
+    assert sum((r["vec_id"] in {j for _, j in want[r["query_id"]]}) for r in got) >= 0.92 * sum(map(len, want.values()))
 
 
 def test_empty_tables(spark, empty, tmp_path):
