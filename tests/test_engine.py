@@ -12,6 +12,7 @@ from tests.test_functions import pdf, png
 from trimlake.operators import odf_epub, ooxml
 from trimlake.operators.engine import AS_IT_IS, Options, optimize
 from trimlake.operators.package import Package
+from trimlake.functions.codec import Refused
 from trimlake.sources.zip_parts import Part, read_zip, write_zip
 
 PNG = png(np.zeros((6, 6, 3), np.uint8), 2)
@@ -146,6 +147,45 @@ def test_damaged_files_never_raise(seed):
     assert len(r.data) <= len(bad)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_packages_cut_or_misplaced_never_raise(seed):
+    """Any offset of the directory may point anywhere, and the file may end anywhere."""
+    rng = np.random.default_rng(seed)
+    raw = bytearray(docx())
+    at = raw.index(b"PK\x01\x02")
+    raw[at + 42 : at + 46] = int(rng.integers(0, len(raw) + 40)).to_bytes(4, "little")
+    raw = bytes(raw) if seed % 2 else bytes(raw[: rng.integers(0, len(raw))])
+    assert optimize(raw, "a.docx").data == raw
+
+
+def test_a_header_inside_the_comment_is_refused():
+    entry = b"PK\x01\x02" + bytes(38) + (46 + 22).to_bytes(4, "little")
+    raw = entry + b"PK\x05\x06" + bytes(4) + b"\x01\0\x01\0" + len(entry).to_bytes(4, "little") + bytes(4) + b"\x04\0" + b"PK\x03\x04"
+    assert optimize(raw, "a.docx").data == raw
+    with pytest.raises(Refused):
+        read_zip(raw)
+
+
+def test_sink_is_left_alone_by_a_second_attempt(spark, tmp_path):
+    from trimlake.sources.files import write_files
+
+    rows = lambda data: spark.createDataFrame([("a", f"file://{tmp_path}/a.bin", True, data)], "doc_id string, path string, success boolean, content binary")
+    for _ in range(2):
+        assert write_files(rows(b"one")).first()["output_path"] == f"{tmp_path}/a.slim.bin"
+    assert write_files(rows(b"two")).first()["output_path"] == f"{tmp_path}/a.slim.1.bin"
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["a.slim.1.bin", "a.slim.bin"]
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_one():
+    from types import SimpleNamespace
+
+    from trimlake.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_tables_of_files(spark, tmp_path):
     from trimlake.plans.optimize import batch_totals, optimize_documents, pass_totals, text_report
     from trimlake.sources.files import repack, scan_files, unpack, write_files

@@ -247,6 +247,18 @@ def test_rtf_valid(rtf, ok):
     assert rtf_text.is_valid(rtf) is ok
 
 
+@pytest.mark.parametrize(
+    "rtf, want",
+    [
+        ("\\b\\b x\\ql\\qj {}y", "\\b x\\qj y"), ("\\tab\\tab\\par\\par x", "\\tab\\tab\\par\\par x"), ("\\fs20\\b\\fs24 x", "\\b\\fs24 x"), ("\\ql x\\qj y", "\\ql x\\qj y"),
+        ("\\ql{\\qj x}", "\\ql{\\qj x}"), ("\\b\r\n\\b0 x", "\r\n\\b0 x"), ("\\{ }", "\\{ }"), ("\\b{}x", "\\b{}x"), ("a{{}\r\n}b", "a\r\nb"), ("{ }", "{ }"), ("\\sa0\\sa0\\sb5 x", "\\sa0\\sb5 x"), ("", ""),
+    ],
+)
+def test_rtf_states(rtf, want):
+    """A state set again before anything it applies to goes; words that make something stay, however often they come."""
+    assert rtf_text.normalize_states(rtf) == want
+
+
 def test_rtf_pictures():
     old = png(np.zeros((8, 8, 3), np.uint8), 2)
     rtf = "{\\rtf1 {\\pict\\pngblip\\picw8\n" + old.hex() + "}x}"

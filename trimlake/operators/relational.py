@@ -5,24 +5,19 @@ The same operators serve the parts of one package (group by document) and a whol
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trimlake.session import shared_folder
+
 
 def saved_table(df: DataFrame) -> DataFrame:
     """df written to the folder that driver and executors share, and read back: what follows doesn't start from the beginning."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="trimlake-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/trimlake-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def duplicate_groups(df: DataFrame, content: str, order: str, within: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +75,7 @@ def renumbered(values: DataFrame, value: str, name: str = "new_id") -> DataFrame
     sizes = spread.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
     own = F.row_number().over(Window.partitionBy("part").orderBy(value)) - 1
-    return spread.join(F.broadcast(before), "part").select(value, (own + F.col("before")).cast("long").alias(name))
+    return spread.join(before, "part").select(value, (own + F.col("before")).cast("long").alias(name))
 
 
 def dominant_value(df: DataFrame, group: str, value: str, least: int = 10, share: float = 0.7) -> DataFrame:
@@ -121,7 +116,7 @@ def rolled_up(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFr
     return df.rollup(*keys).agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n_rows"), *(F.sum(c).cast("long").alias(f"sum_{c}") for c in sums))
 
 
-def first_of(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key; the window's limit applies before its shuffle."""
-    tag = "row_number_"
-    return df.withColumn(tag, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(tag) == 1).drop(tag)
+def first_of_equals(df: DataFrame, content: str, order: str) -> DataFrame:
+    """order, content: the first row of those with equal content. Rows meet by digest, one of each task's equals."""
+    first = df.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("digest")).agg(F.min(order).alias(order), F.first(content).alias(content))
+    return first.select(order, content)

@@ -1,6 +1,8 @@
 """Package passes on packages made from the rows of documents, each with the text that it must leave.
 
-A template becomes a column in the query and the same text in SQL: {id} is the doc_id, {t} the whole text's letters and blanks.
+A template becomes a column in the query and the same text in SQL: {id} is the doc_id, {t} the whole text as XML holds it (ampersands and
+angle brackets as entities), {r} and {p} the whole text as rich text and PDF strings hold it (backslashes and brackets escaped), {w} the whole text as it
+is; in SQL also {m}, which is {t} with each run of white space as one blank.
 The query packs the input, unpacks it, runs the pass, and returns the part; the SQL states what must be in it.
 """
 
@@ -69,7 +71,7 @@ CASES: dict[str, Case] = {
     "ooxml_hidden": Case(ooxml.hidden, {"word/document.xml": _doc('<w:p><w:proofErr w:type="x{id}"/><w:r><w:rPr><w:vanish/></w:rPr><w:t></w:t></w:r><w:r><w:rPr><w:vanish/></w:rPr><w:t>kept{t}</w:t></w:r><w:commentRangeStart w:id="1"/></w:p>')}, "word/document.xml", _doc("<w:p><w:r><w:rPr><w:vanish/></w:rPr><w:t>kept{t}</w:t></w:r></w:p>")),
     "ooxml_short_paths": Case(ooxml.short_paths, {RELS: '<Relationships><Relationship Id="a{id}" Target="media/image{id}.png"/></Relationships>', "word/media/image{id}.png": "{t}"}, RELS, '<Relationships><Relationship Id="a{id}" Target="media/1.png"/></Relationships>'),
     "ooxml_content_types": Case(ooxml.content_types, {TYPES: '<Types><Default Extension="xml" ContentType="x"/><Override PartName="/a{id}.png" ContentType="image/png"/><Override PartName="/b.png" ContentType="image/png"/><Override PartName="/c.xml" ContentType="x"/><Override PartName="/d.xml" ContentType="y{id}"/><Override PartName="/none.xml" ContentType="z"/></Types>', "a{id}.png": "{t}", "b.png": "b", "c.xml": "<c/>", "d.xml": "<d/>"}, TYPES, '<Types><Default Extension="png" ContentType="image/png"/><Default Extension="xml" ContentType="x"/><Override PartName="/d.xml" ContentType="y{id}"/></Types>'),
-    "ooxml_markup": Case(ooxml.markup, {"word/document.xml": f'<w:document {W}>\n <w:p {W} >\n  <w:r><w:t>{{t}}</w:t></w:r> <w:r><w:t>x{{id}}</w:t></w:r>\n </w:p><!-- {{t}} -->\n</w:document>'}, "word/document.xml", f"<w:document {W}><w:p><w:r><w:t>{{t}}x{{id}}</w:t></w:r></w:p></w:document>"),
+    "ooxml_markup": Case(ooxml.markup, {"word/document.xml": f'<w:document {W}>\n <w:p {W} >\n  <w:r><w:t>{{t}}</w:t></w:r> <w:r><w:t>x{{id}}</w:t></w:r>\n </w:p><!-- {{t}} -->\n</w:document>'}, "word/document.xml", f"<w:document {W}><w:p><w:r><w:t>{{m}}x{{id}}</w:t></w:r></w:p></w:document>"),
     "odf_metadata": Case(odf_epub.odf_metadata, {"meta.xml": '<m><meta:generator>g{id}</meta:generator><dc:title>{t}</dc:title><dc:date>d</dc:date><meta:document-statistic meta:page-count="{id}"/></m>'}, "meta.xml", "<m><dc:title>{t}</dc:title></m>"),
     "odf_thumbnail": Case(odf_epub.odf_thumbnail, {"META-INF/manifest.xml": '<m:m><manifest:file-entry manifest:full-path="Thumbnails/thumbnail.png"/><manifest:file-entry manifest:full-path="a{id}.xml"/></m:m>', "Thumbnails/thumbnail.png": "{t}"}, "META-INF/manifest.xml", '<m:m><manifest:file-entry manifest:full-path="a{id}.xml"/></m:m>'),
     "odf_hidden": Case(odf_epub.odf_hidden, {"content.xml": '<c><draw:frame draw:name="{id}" svg:width="0cm" svg:height="0cm"><draw:image/></draw:frame><draw:frame svg:width="1cm" svg:height="0cm">{t}</draw:frame><office:annotation> </office:annotation></c>'}, "content.xml", '<c><draw:frame svg:width="1cm" svg:height="0cm">{t}</draw:frame></c>'),
@@ -81,26 +83,52 @@ CASES: dict[str, Case] = {
 }
 
 
+_NAMES = ("id", "t", "r", "p", "w", "m")
+
+
 def _pieces(template: str) -> list[str]:
-    return [x for x in re.split(r"(\{id\}|\{t\})", template) if x]
+    return [x for x in re.split(r"(\{(?:id|t|r|p|w|m)\})", template) if x]
 
 
 def _column(template: str) -> Column:
-    return F.concat(F.lit(""), *({"{id}": F.col("id"), "{t}": F.col("t")}.get(x, F.lit(x)) for x in _pieces(template)))
+    return F.concat(F.lit(""), *(F.col(x[1:-1]) if x[1:-1] in _NAMES and x[0] == "{" else F.lit(x) for x in _pieces(template)))
 
 
 def _sql(template: str) -> str:
-    return " || ".join(["''", *({"{id}": "id", "{t}": "t"}.get(x) or "'" + x.replace("'", "''") + "'" for x in _pieces(template))])
+    """The template in SQL; after "=" it is SQL already, over the columns of RENDERED."""
+    if template.startswith("="):
+        return template[1:]
+    return " || ".join(["''", *(x[1:-1] if x[1:-1] in _NAMES and x[0] == "{" else "'" + x.replace("'", "''") + "'" for x in _pieces(template))])
+
+
+#: What each escape replaces, in order.
+XML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+RTF_ESCAPES = (("\\", "\\\\"), ("{", "\\{"), ("}", "\\}"))
+
+PDF_ESCAPES = (("\\", "\\\\"), ("(", "\\("), (")", "\\)"))
+
+
+def _replaced(text: Column, pairs: tuple) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _replaced_sql(text: str, pairs: tuple) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, id, t of all documents."""
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.regexp_replace(F.trim(t), " +", " ").alias("t"))
+    """doc_id, id, t, r, p, w of all documents."""
+    whole = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("id"), _replaced(whole, XML_ESCAPES).alias("t"), _replaced(whole, RTF_ESCAPES).alias("r"), _replaced(whole, PDF_ESCAPES).alias("p"), whole.alias("w"))
 
 
+_WHOLE = "coalesce(text, '')"
 #: The same as a table expression.
-RENDERED = "(SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, regexp_replace(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')), ' +', ' ', 'g') AS t FROM documents)"
+RENDERED = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, {_replaced_sql(_WHOLE, XML_ESCAPES)} AS t, regexp_replace(t, '[ \\t\\n\\r]+', ' ', 'g') AS m, {_replaced_sql(_WHOLE, PDF_ESCAPES)} AS p, {_replaced_sql(_WHOLE, RTF_ESCAPES)} AS r, {_WHOLE} AS w FROM documents)"
 
 
 def package_query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -16,7 +16,8 @@ from trimlake.operators import relational as R
 from trimlake.plans.function_cases import TEXT_CASES, text_query, text_sql
 from trimlake.plans.optimize import batch_totals, bytes_saved, format_bytes, optimize_documents, pass_totals
 from trimlake.plans.package_cases import CASES, package_query, package_sql
-from trimlake.session import ship
+from trimlake.session import shared_folder, ship
+from trimlake.sources.files import put_files, repack, scan_files, unpack, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,7 +205,7 @@ def report_rollup(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def first_of_equals(spark, sf_dir):
     """Analogue of fonts named twice: the first row of each text."""
-    return R.first_of(_read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), ["text"], ["doc_id"])
+    return R.first_of_equals(_read(spark, sf_dir, "documents").where("text IS NOT NULL"), "text", "doc_id")
 
 
 TRIMMED = "regexp_replace(regexp_replace(CAST(CAST(value AS DECIMAL(12,4)) AS VARCHAR), '(\\.[0-9]*[1-9])0+$', '\\1'), '\\.0+$', '')"
@@ -291,11 +292,42 @@ def engine_passes(spark, sf_dir):
     return pass_totals(optimize_documents(_page_files(spark, sf_dir)))
 
 
-@query("SELECT page_id, CASE WHEN strlen(html) < 1024 THEN CAST(strlen(html) AS VARCHAR) || ' B' ELSE NULL END AS small FROM pages")
+_N = "CAST(strlen(html) AS BIGINT)"
+_TENTHS, _HUNDREDTHS = f"(({_N} * 20 + 1024) // 2048)", f"(({_N} * 200 + 1048576) // 2097152)"
+
+
+@query(f"""
+    SELECT page_id, CASE WHEN {_N} < 1024 THEN {_N} || ' B' WHEN {_N} < 1048576 THEN {_TENTHS} // 10 || '.' || {_TENTHS} % 10 || ' KB'
+    ELSE {_HUNDREDTHS} // 100 || '.' || lpad(CAST({_HUNDREDTHS} % 100 AS VARCHAR), 2, '0') || ' MB' END AS shown FROM pages""")
 def report_sizes(spark, sf_dir):
-    """Sizes for people; larger units are tested apart, as their rounding differs."""
-    n = F.octet_length("html").cast("long")
-    return _read(spark, sf_dir, "pages").select("page_id", F.when(n < 1024, format_bytes(n)).alias("small"))
+    """Sizes for people, halves rounded up."""
+    return _read(spark, sf_dir, "pages").select("page_id", format_bytes(F.octet_length("html").cast("long")).alias("shown"))
+
+
+@query(f"SELECT CAST(page_id AS VARCHAR) || '.slim.html' AS name, optimized_size AS length FROM ({SIZES}) WHERE optimized_size < original_size")
+def files_in_and_out(spark, sf_dir):
+    """Scan, engine and sink: pages as files in a folder, optimised beside their inputs, and the outputs' names and lengths as found there."""
+    folder = shared_folder(spark)
+    pages = _read(spark, sf_dir, "pages").select(F.concat(F.lit(f"{folder}/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    R.saved_table(put_files(pages))
+    R.saved_table(write_files(optimize_documents(scan_files(spark, folder))))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.slim.*").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@query("""
+    WITH p AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS ord, 'mimetype' AS name, CAST(1 AS BIGINT) AS size FROM p
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'a.txt', CAST(strlen(split_part(t, chr(10), 1)) AS BIGINT) FROM p
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 'b' || doc_id || '.txt', CAST(strlen(t) AS BIGINT) FROM p""")
+def parts_round_trip(spark, sf_dir):
+    """Parts nested into packages, packages unnested into parts, in the order in which a package holds them."""
+    text = F.coalesce("text", F.lit(""))
+    part = lambda n, name, data: F.struct(F.lit(n).alias("ord"), name.alias("name"), data.cast("binary").alias("data"))
+    name = F.concat(F.lit("b"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    parts = F.array(part(0, name, text), part(1, F.lit("a.txt"), F.split_part(text, F.lit("\n"), F.lit(1))), part(2, F.lit("mimetype"), F.lit("m")))
+    rows = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.*", F.lit(0).cast("long").alias("attributes"), F.lit(False).alias("stored"), F.lit("ok").alias("status"))
+    return unpack(repack(rows)).select("doc_id", "ord", "name", "size")
 
 
 for _name in CASES:

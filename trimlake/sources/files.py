@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,8 +81,41 @@ def output_name(path: str, suffix: str = SUFFIX, taken=lambda p: False) -> str:
     return name
 
 
+def _put(fs: pyarrow.fs.FileSystem, place: str, data: bytes) -> None:
+    """A whole file under its name, written under one of the attempt's own first."""
+    with fs.open_output_stream(own := f"{posixpath.dirname(place)}/.{uuid.uuid4().hex}") as f:
+        f.write(data)
+    fs.move(own, place)
+
+
+def _holds(fs: pyarrow.fs.FileSystem, place: str, data: bytes) -> bool:
+    """Whether a file is there with other content: one with the same content is what an earlier attempt left."""
+    info = fs.get_file_info(place)
+    if info.type == pyarrow.fs.FileType.NotFound:
+        return False
+    if info.type != pyarrow.fs.FileType.File or info.size != len(data):
+        return True
+    with fs.open_input_stream(place) as f:
+        return f.read() != data
+
+
+def put_files(files: DataFrame) -> DataFrame:
+    """Writes content to each path; path, length. Folders are made."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                fs, place = pyarrow.fs.FileSystem.from_uri(path)
+                fs.create_dir(posixpath.dirname(place), recursive=True)
+                _put(fs, place, data or b"")
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([len(x or b"") for x in b.column("content").to_pylist()], pa.int64())], ["path", "length"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, length long")
+
+
 def write_files(results: DataFrame, suffix: str = SUFFIX) -> DataFrame:
-    """Writes the content of every success beside its input; doc_id, output_path. Executors write, under a name of their own first."""
+    """Writes the content of every success beside its input; doc_id, output_path. Executors write; an attempt that runs again finds its own file and leaves it."""
     ship(results.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,14 +123,12 @@ def write_files(results: DataFrame, suffix: str = SUFFIX) -> DataFrame:
             out = []
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
-                to = output_name(place, suffix, lambda p, fs=fs: fs.get_file_info(p).type != pyarrow.fs.FileType.NotFound)
-                with fs.open_output_stream(own := f"{to}.part") as f:
-                    f.write(data)
-                fs.move(own, to)
+                to = output_name(place, suffix, lambda p, fs=fs, data=data: _holds(fs, p, data))
+                _put(fs, to, data)
                 out.append(to)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "output_path"])
 
     return results.where("success").select("doc_id", "path", "content").mapInArrow(run, "doc_id string, output_path string")
 
 
-__all__ = ["output_name", "part_order", "repack", "scan_files", "unpack", "write_files", "write_order"]
+__all__ = ["output_name", "part_order", "put_files", "repack", "scan_files", "unpack", "write_files", "write_order"]

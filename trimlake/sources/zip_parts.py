@@ -8,8 +8,7 @@ from dataclasses import dataclass
 
 from trimlake.functions.codec import INFLATE_CAP, Refused, deflate_best, inflate
 
-#: Most entries of a package, and most bytes that all of them may hold.
-MOST_ENTRIES = 65_535
+#: Most bytes that all entries of a package may hold.
 MOST_BYTES = 1 << 30
 #: Fixed value: the date that entries get, 1 January 1980.
 DATE = 0x0021
@@ -38,7 +37,7 @@ def read_zip(raw: bytes) -> list[Part]:
         attributes, local = struct.unpack_from("<II", raw, at + 38)
         name = raw[at + 46 : at + 46 + n]
         at += 46 + n + extra + note
-        if flags & 1 or method not in (0, 8) or raw[local : local + 4] != b"PK\x03\x04":
+        if flags & 1 or method not in (0, 8) or local + 30 > len(raw) or raw[local : local + 4] != b"PK\x03\x04":
             raise Refused("entry is encrypted, of another method, or misplaced")
         skip = sum(struct.unpack_from("<HH", raw, local + 26))
         body = raw[local + 30 + skip : local + 30 + skip + packed]
