@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trimlake.llm import bpe, langid, mixing, near_dups, pii
-from trimlake.llm.common import fresh, shared_dir
+from trimlake.llm.common import fresh
+from trimlake.session import shared_folder
 
 #: Documents in a known language with at least this probability stay.
 LEAST_SCORE = 0.34
@@ -60,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = shared_dir(spark)
+            path = shared_folder(spark)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
