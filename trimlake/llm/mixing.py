@@ -2,8 +2,9 @@
 
 Each document gets a rate. Among all rates that give every source its target number of words, the ones taken
 are closest in relative entropy to taking every document once; they are exponential tilts exp(lambda_source),
-where lambda minimises the convex dual  sum_s size_s * exp(lambda_s) - lambda_s * target_s.  The dual is solved
-by damped Newton iterations that run on the executors, one row a source. Rates are then rounded into whole
+where lambda minimises the convex dual  sum_s sum_d size_d * exp(lambda_s) - lambda_s * target_s.  The dual is solved
+by damped Newton iterations: each sums the tilted words over all documents, partially before its shuffle, and they end when every
+constraint holds. Rates are then rounded into whole
 copies: the same threshold on a hash of the document for all of a source, set so that the words taken come as near the
 target as whole documents allow.
 
@@ -27,7 +28,8 @@ from trimlake.llm.common import cut, fresh, per_text, tune, utf8_view, word_star
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Newton steps on the dual, and bins of a level of the rounding's histogram (there are two levels).
+#: Share of a target that the tilted words may miss it by when the iterations end, and most iterations; bins of a level of the rounding's histogram (there are two levels).
+CLOSE = 1e-10
 STEPS = 60
 BINS = 4096
 
@@ -74,10 +76,23 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share
     return table.withColumn("target", F.least("cap", F.col("weight") * F.lit(level if level is not None else 0.0)))
 
 
-def tilt(size: Column, target: Column, steps: int = STEPS) -> Column:
-    """The minimiser of the dual size * exp(x) - x * target, by Newton steps of at most 1 each way."""
-    step = lambda x, _: x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), target / (size * F.exp(x)) - 1))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
+def tilt(sized: DataFrame, targets: DataFrame, steps: int = STEPS) -> DataFrame:
+    """targets (source, target, ...) with tilt, the minimiser of the dual. Sources without words or target have none.
+
+    A Newton step divides the gradient, tilted words less target, by the second derivative, the tilted words; steps beyond 1 are damped to 1.
+    """
+    wanted = targets.where("target > 0 AND source_size > 0").select(F.col("source").alias("s"), "target")
+    state = cut(wanted.withColumn("tilt", F.lit(0.0)))
+    words = sized.where("size > 0").select("source", "size")
+    for _ in range(steps):
+        tilted = words.join(state, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.sum(F.col("size") * F.exp("tilt")).alias("mass"), F.first("target").alias("target"), F.first("tilt").alias("tilt"))
+        tilted = cut(tilted.withColumn("miss", F.col("mass") - F.col("target")))
+        worst = tilted.agg(F.max(F.abs("miss") / F.col("target"))).first()[0]
+        if worst is None or worst <= CLOSE:
+            break
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("miss") / F.col("mass")))
+        state = tilted.select("s", "target", (F.col("tilt") + step).alias("tilt"))
+    return targets.join(state.select("s", "tilt"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 def _cut_bins(rows: DataFrame, bin_of: Column, key: list[str]) -> DataFrame:
@@ -93,8 +108,8 @@ def source_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
     No task gathers a source: sums are partial before each shuffle, and a histogram has BINS rows a source.
     """
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(tilt(F.col("source_size").cast("double"), F.col("target")))).otherwise(0.0)
-    plan = targets.select("source", "source_size", "target", rate.alias("rate"))
+    rate = F.coalesce(F.exp("tilt"), F.lit(0.0))
+    plan = tilt(sized, targets).select("source", "source_size", "target", rate.alias("rate"))
     whole = F.floor(F.col("rate") + 1e-9).cast("double")  # a rate within 1e-9 of a whole number is that number
     plan = cut(plan.withColumn("whole", whole).withColumn("wanted", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
     want = plan.where("wanted > 0.5").select(F.col("source").alias("s"), "wanted")
