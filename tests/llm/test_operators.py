@@ -324,6 +324,21 @@ def test_mix(table, request):
     assert sorted(map(repr, mixing.mix(df).collect())) == sorted(map(repr, rows))
 
 
+def test_tilts_solve_the_dual(spark):
+    """The iterations end where the tilted words meet the targets; there the tilt is the logarithm of target over size."""
+    rng = random.Random(3)
+    rows = [(None if s == 3 else f"s{s}", rng.randint(1, 50)) for s in range(5) for _ in range(20 * 3**s)]
+    sized = spark.createDataFrame(rows, "source string, size long")
+    sizes: dict = {}
+    for s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want = {s: n * f for (s, n), f in zip(sizes.items(), (2.0, 0.01, 1.0, 0.3, 1.7))}
+    targets = spark.createDataFrame([(s, sizes[s], t) for s, t in want.items()] + [("none", 0, 5.0), ("zero", 9, 0.0)], "source string, source_size long, target double")
+    got = {r["source"]: r["tilt"] for r in mixing.tilt(sized, targets).collect()}
+    assert got.pop("none") is None and got.pop("zero") is None
+    assert got == pytest.approx({s: math.log(t / sizes[s]) for s, t in want.items()}, abs=1e-8)
+
+
 def test_taken_rows_equal_the_plan(edge, docs):
     for df in (docs, edge):
         want = sum(r["copies"] for r in mixing.mix(df).collect())
@@ -343,6 +358,18 @@ def test_languages(spark, docs, edge):
     assert (np.abs(model.table) > 0).mean() < 0.5
 
 
+def test_the_sample_of_a_language_is_bounded(spark, monkeypatch):
+    """As many rows as stated are learned from, however many a language has and however often a row is repeated."""
+    texts = {"aa": "lorem ipsum dolor", "bb": "der die das und", "cc": "one two three"}
+    rows = [(i, f"{t} {i}", lang) for k, (lang, t) in enumerate(texts.items()) for i in range(k * 10_000, k * 10_000 + (3000, 400, 5)[k])] + [(1, "lorem", "aa")] * 500
+    learned = []
+    fit = langid.fit_ftrl
+    monkeypatch.setattr(langid, "fit_ftrl", lambda rows, labels, n: learned.append(len(labels)) or fit(rows, labels, n))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50)
+    assert model.langs == ["aa", "bb", "cc"] and 0.6 * 105 < learned[0] <= 105
+    assert model.predict(["die und der", "two one two", "ipsum dolor"])[0] == ["bb", "cc", "aa"]
+
+
 def test_learning_does_not_see_held_out_rows(spark, docs):
     odd = docs.withColumn("lang", F.when(langid.held_out(), "zz").otherwise(F.col("lang")))
     assert langid.train(langid.learn_rows(odd)).langs == langid.train(langid.learn_rows(docs)).langs

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -29,6 +29,9 @@ BUCKETS = 1 << 16
 SCALE = 20.0
 #: Rows a language, at most, that the regression is fitted on (stated bound of the sample).
 PER_LANG = 600
+#: Share of PER_LANG that the bound on the hash lets through on average, and numbers that the hash takes.
+SPARE = 1.3
+HASHES = 1 << 40
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
 HELD_FOR_HEAT = 0.2
@@ -101,7 +104,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         pairs = [counts(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("lang"), *(pa.array([p[k].astype(np.int32) for p in pairs], pa.list_(pa.int32())) for k in (0, 1))], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), *(pa.array([p[k].astype(np.int32) for p in pairs], pa.list_(pa.int32())) for k in (0, 1)), b.column("h")], ["lang", "bucket", "n", "h"])
 
 
 class Model:
@@ -183,17 +186,18 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     idf = np.full(BUCKETS, np.log(1 + total) + 1)
     for b, k in freq.items():
         idf[b] = np.log((1 + total) / (1 + k)) + 1
-    # The rows of each language with the least hash of their id; the limit applies before the shuffle, and no text is shuffled.
-    keyed = rows.select("lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    some = keyed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang)
-    edges = {r["lang"]: r["edge"] for r in some.groupBy("lang").agg(F.max("h").alias("edge")).collect()}  # one row a language
-    inside = F.lit(False)
-    for lang, e in edges.items():
-        inside = inside | ((F.col("lang") == lang) & (F.xxhash64("doc_id", F.lit(11)) <= F.lit(e)))
+    # Of each language the rows below a bound on a hash of their id, set so that a little more than per_lang are expected; of these the least ones.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    bounds = [(lang, int(min(1.0, SPARE * per_lang / n) * HASHES)) for lang, n in counts.items()]
+    edge = rows.sparkSession.createDataFrame(bounds or [("", 0)], "lang string, bound long")
+    keyed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HASHES)))
     # Rows that share one id share its hash: the limit keeps the sample's bound.
-    sample = rows.where(inside).select("lang", "text").mapInArrow(_sparse, "lang string, bucket array<int>, n array<int>").limit(2 * per_lang * max(1, len(edges)))
-    got = sorted(((r["lang"], r["bucket"], r["n"]) for r in sample.collect()), key=lambda r: (r[0], len(r[1]), r[1], r[2]))
-    langs = sorted(edges)
+    sample = keyed.join(edge, "lang").where("h <= bound").select("lang", "text", "h").mapInArrow(_sparse, "lang string, bucket array<int>, n array<int>, h long").limit(2 * per_lang * max(1, len(counts)))
+    by_lang: dict[str, list] = {lang: [] for lang in sorted(counts)}
+    for r in sample.collect():
+        by_lang[r["lang"]].append((r["h"], len(r["bucket"]), r["bucket"], r["n"]))
+    got = [(lang, b, n) for lang, rs in by_lang.items() for _, _, b, n in sorted(rs)[:per_lang]]
+    langs = list(by_lang)
     labels = np.array([langs.index(r[0]) for r in got], dtype=np.int64)
     feats = []
     for _, b, n in got:
