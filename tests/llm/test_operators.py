@@ -146,13 +146,21 @@ def test_noise_is_outside_the_bands(kind, least):
     assert [n for n in sizes if quality.band_verdict(noise(kind, n), codec)[2]] == []
 
 
+def test_noise_inside_prose_is_found(docs):
+    codec = quality.zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False)
+    prose = " ".join(r["text"] for r in docs.where("lang = 'en' AND length(text) > 3000").orderBy("doc_id").collect()).encode()
+    for size, noisy in ((8000, 3500), (12_000, 4500), (40_000, 14_000)):
+        for place in (0, 1000, size - noisy):
+            mixed = prose[:place] + noise("base64", noisy) + prose[place : size - noisy]
+            assert len(mixed) == size and not quality.band_verdict(mixed, codec)[2] and quality.band_verdict(prose[:size], codec)[1:] == (0.0, True)
+
+
 def test_prose_is_below_the_ceilings(docs):
     codec = quality.zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False)
     for r in docs.collect():
         raw = (r["text"] or "").encode()
         if raw:
-            ratio, _, _ = quality.band_verdict(raw, codec)
-            assert ratio <= next(high for below, _, high in quality.WHOLE_BANDS if len(raw) < below)
+            assert quality.band_verdict(raw, codec)[0] <= quality._limits(len(raw))[1]
 
 
 @pytest.mark.parametrize("table", ["docs", "edge"])

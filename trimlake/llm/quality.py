@@ -2,7 +2,8 @@
 
 Zstandard compresses a whole document, and each of its fixed chunks. The ratio of compressed to plain bytes says how
 predictable a text is: below a band's floor it repeats itself, above its ceiling it is noise. Short texts compress
-badly whatever they say, so the limits depend on the length.
+badly whatever they say, so the limits depend on the length; below 64 bytes there is no ceiling. A last chunk that is shorter
+is judged from LEAST_CHUNK bytes on.
 
 Defined results: a null text counts as empty: no words, base_failed, not kept, ratio null.
 """
@@ -24,7 +25,9 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 LEVEL = 3
-CHUNK = 4096
+CHUNK = 2048
+#: Bytes from which a last, shorter chunk is judged too, by the limits of a text of its length.
+LEAST_CHUNK = 512
 #: Fixed values: (bytes below which the row holds, least ratio, greatest ratio) for whole documents, by length. The greatest ratios lie just
 #: above those of prose (0.80 to 0.95 below 384 bytes, 0.44 for the longest), so that base64 fails from 192 bytes, letters of both cases at
 #: random from 512, small letters from 1,280 and hexadecimal from 4,096; below these lengths prose and noise compress alike.
@@ -32,9 +35,9 @@ WHOLE_BANDS = (
     (64, 0.10, 10.0), (128, 0.10, 1.20), (160, 0.10, 0.96), (192, 0.10, 0.945), (256, 0.10, 0.87), (384, 0.08, 0.81), (512, 0.08, 0.76), (768, 0.08, 0.71), (1024, 0.08, 0.67),
     (1280, 0.07, 0.64), (1536, 0.07, 0.60), (2048, 0.07, 0.59), (3072, 0.07, 0.57), (4096, 0.07, 0.55), (8192, 0.06, 0.52), (16384, 0.06, 0.51), (1 << 62, 0.05, 0.49),
 )
-#: The same for a full chunk; and the share of a document's full chunks that may break the band.
-CHUNK_BAND = (0.06, 0.52)
-CHUNK_SHARE = 0.5
+#: The same for a full chunk; and the share of a document's judged bytes that may lie in chunks outside their limits.
+CHUNK_BAND = (0.06, 0.57)
+CHUNK_SHARE = 0.25
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -81,18 +84,24 @@ def duplicate_lines(text: str) -> int:
     return n
 
 
+def _limits(n: int) -> tuple[float, float]:
+    return next((low, high) for below, low, high in WHOLE_BANDS if n < below)
+
+
 def band_verdict(raw: bytes, codec: zstandard.ZstdCompressor) -> tuple[float | None, float, bool]:
-    """Ratio of the whole text, share of its full chunks outside their band, and whether the text is inside all limits."""
+    """Ratio of the whole text, share of its judged bytes in chunks outside their limits, and whether the text is inside all limits."""
     if not raw:
         return None, 0.0, False
     ratio = len(codec.compress(raw)) / len(raw)
-    low, high = next((lo, hi) for below, lo, hi in WHOLE_BANDS if len(raw) < below)
-    full = len(raw) // CHUNK
-    bad = 0
-    for k in range(full if full > 1 else 0):
-        r = len(codec.compress(raw[k * CHUNK : (k + 1) * CHUNK])) / CHUNK
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    share = bad / full if full > 1 else 0.0
+    low, high = _limits(len(raw))
+    bad = judged = 0
+    for k in range(0, len(raw) if len(raw) >= CHUNK + LEAST_CHUNK else 0, CHUNK):
+        chunk = raw[k : k + CHUNK]
+        if len(chunk) >= LEAST_CHUNK:
+            least, most = CHUNK_BAND if len(chunk) == CHUNK else _limits(len(chunk))
+            judged += len(chunk)
+            bad += 0 if least <= len(codec.compress(chunk)) / len(chunk) <= most else len(chunk)
+    share = bad / judged if judged else 0.0
     return ratio, share, low <= ratio <= high and share <= CHUNK_SHARE
 
 
