@@ -14,6 +14,7 @@ import numpy as np
 #: Most bytes that one stream may inflate to, and most pixels of an image that is looked into.
 INFLATE_CAP = 256 << 20
 MOST_PIXELS = 64 << 20
+ONE_TRY = 512
 
 
 class Refused(ValueError):
@@ -32,10 +33,10 @@ def inflate(data: bytes, wbits: int = 15, cap: int = INFLATE_CAP) -> bytes:
 
 
 def deflate_best(data: bytes, wbits: int = 15) -> bytes:
-    """The shortest of several settings of the standard library's compressor."""
+    """The shortest of several settings of the standard library's compressor; data of up to ONE_TRY bytes, where they hardly differ, get the first one."""
     tries = ((8, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_FILTERED), (9, zlib.Z_RLE))
     best = None
-    for mem, strategy in tries:
+    for mem, strategy in tries if len(data) > ONE_TRY else tries[:1]:
         c = zlib.compressobj(9, zlib.DEFLATED, wbits, mem, strategy)
         out = c.compress(data) + c.flush()
         if best is None or len(out) < len(best):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass, field
 
 from trimlake.functions.codec import Refused, optimize_image
@@ -116,7 +117,7 @@ def optimize(data: bytes, hint: str = "", options: Options | None = None) -> Res
         return out
     try:
         tries, saved, message = candidates(data, name, options or Options())
-    except (Refused, ValueError, KeyError, IndexError, OverflowError, RecursionError) as e:
+    except (Refused, ValueError, KeyError, IndexError, OverflowError, RecursionError, struct.error) as e:
         out.message = f"Left as it is: {type(e).__name__}"
         return out
     out.candidates, out.saved, out.message = len(tries), {k: v for k, v in saved.items() if v > 0}, message or AS_IT_IS

@@ -376,9 +376,12 @@ def shared_strings(p: Package) -> int:
 
 def fonts(p: Package) -> int:
     """Embedded fonts reduced to the characters of the text. Each obfuscated font has its own key, found by relationship."""
+    held = [*p.names(suffix=".ttf"), *p.names(suffix=".odttf")]
+    if not held:
+        return 0
     text = " ".join(t for prefix in ("word/", "xl/", "ppt/") for _, x in p.texts(prefix) for t in re.findall(r"<[wa]?:?t(?:\s[^>]*)?(?<!/)>([^<]*)</[wa]?:?t>", x))
     plain = re.sub(r"&#(x?)([0-9A-Fa-f]+);", lambda m: chr(int(m[2], 16 if m[1] else 10)), text.encode("latin-1").decode("utf-8", "replace"))
-    points = {ord(c) for c in plain} | {ord(c) for c in "&<>\"' "}
+    points = set(map(ord, set(plain + "&<>\"' ")))
     keys = {}
     for tag in re.findall(r"<w:embed\w+\b[^>]*/>", p.text("word/fontTable.xml") or ""):
         a = attributes(tag)
@@ -386,7 +389,7 @@ def fonts(p: Package) -> int:
             if r.source == "word/fontTable.xml" and r.id == a.get("r:id"):
                 keys[r.path] = a.get("w:fontKey", "")
     saved = 0
-    for n in [*p.names(suffix=".ttf"), *p.names(suffix=".odttf")]:
+    for n in held:
         data = p.parts[n].data
         try:
             new = deobfuscate_font(subset_font(deobfuscate_font(data, keys[n]), points), keys[n]) if n.endswith(".odttf") else subset_font(data, points)

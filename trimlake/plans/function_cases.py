@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -131,6 +133,34 @@ def _font_key(text: str) -> str:
     return codec.deobfuscate_font(hidden, key).decode() if hidden != text.encode() else "not hidden"
 
 
+def _letters_font() -> bytes:
+    """A font with an outline for each small letter, each of its own length."""
+    glyphs = [b"\0\1" + bytes(8) + bytes([k]) * (2 * k + 2) for k in range(27)]
+    at = [0]
+    for g in glyphs:
+        at.append(at[-1] + len(g))
+    sub = struct.pack(">HHHHHHH", 4, 32, 0, 4, 4, 1, 0) + struct.pack(">HHHHHhhHH", 122, 0xFFFF, 0, 97, 0xFFFF, -96, 1, 0, 0)
+    head = bytes(50) + struct.pack(">hh", 1, 0)
+    tables = {"head": head, "maxp": struct.pack(">IH", 0x00010000, 27), "loca": np.array(at, dtype=">u4").tobytes(), "glyf": b"".join(glyphs), "cmap": struct.pack(">HHHHI", 0, 1, 3, 1, 12) + sub, "DSIG": bytes(400)}
+    return codec.pack_font(tables)
+
+
+def _font_subset(text: str) -> str:
+    """The small letters whose outlines are left of a font reduced to a text."""
+    t = codec.font_tables(codec.subset_font(_letters_font(), set(map(ord, set(text)))))
+    loca = np.frombuffer(t["loca"], dtype=">u4")
+    return "".join(chr(96 + g) for g in range(1, 27) if loca[g + 1] > loca[g])
+
+
+def _pdf_inlined(text: str) -> str:
+    """The number that a page holds in place of a reference to an object that nothing else used."""
+    number, _, body = text.partition("|")
+    old = _pdf(body).replace(b"6 0 obj\n0\n", b"6 0 obj\n%b\n" % number.encode())
+    new, message = pdf_bytes.optimize_pdf(old)
+    held = [o.text for o in pdf_bytes.scan(new)[0].values()] + [codec.inflate(o.stream) for o in pdf_bytes.scan(new)[0].values() if o.stream is not None and b"/Filter" in o.text]
+    return next((m[1].decode() for x in held if (m := re.search(rb"/Rotate\s*([0-9]+)(?!\s+0\s+R)", x))), message)
+
+
 def _odt(text: str) -> str:
     """The text read back from an optimised OpenDocument text."""
     old = write_zip([Part("mimetype", b"application/vnd.oasis.opendocument.text"), Part("content.xml", f"<o> <text:p>{text}</text:p> </o>".encode()), Part("meta.xml", b"<m><meta:generator>g</meta:generator></m>"), Part("Thumbnails/thumbnail.png", _plain_png(text))], best=False)
@@ -219,6 +249,8 @@ TEXT_CASES: dict[str, TextCase] = {
     "rtf_picture_shrink": TextCase(_rtf_picture, "x{w}{id}", "x{w}{id}"),
     "embedded_image_shrink": TextCase(_package_image, "x{w}{id}", "x{w}{id}"),
     "font_key": TextCase(_font_key, "font file {w}{id}", "font file {w}{id}"),
+    "font_subset": TextCase(_font_subset, "{w}", "=array_to_string(list_sort(list_distinct(regexp_extract_all(w, '[a-z]'))), '')"),
+    "pdf_inline": TextCase(_pdf_inlined, "{id}|{p}", "{id}"),
     "odt_optimize": TextCase(_odt, "x{t}{id}", "x{t}{id}"),
     "epub_optimize": TextCase(_epub, "x{t}{id}", "x{t}{id}"),
     "svg_optimize": TextCase(_engine_text("a.svg"), "<svg>\n  <g  x='1.50'/>\n <text>{t}{id}</text>\n</svg>", '<svg><g x="1.5"/><text>{m}{id}</text></svg>'),

@@ -74,6 +74,7 @@ CASES: dict[str, Case] = {
     "ooxml_markup": Case(ooxml.markup, {"word/document.xml": f'<w:document {W}>\n <w:p {W} >\n  <w:r><w:t>{{t}}</w:t></w:r> <w:r><w:t>x{{id}}</w:t></w:r>\n </w:p><!-- {{t}} -->\n</w:document>'}, "word/document.xml", f"<w:document {W}><w:p><w:r><w:t>{{m}}x{{id}}</w:t></w:r></w:p></w:document>"),
     "odf_metadata": Case(odf_epub.odf_metadata, {"meta.xml": '<m><meta:generator>g{id}</meta:generator><dc:title>{t}</dc:title><dc:date>d</dc:date><meta:document-statistic meta:page-count="{id}"/></m>'}, "meta.xml", "<m><dc:title>{t}</dc:title></m>"),
     "odf_thumbnail": Case(odf_epub.odf_thumbnail, {"META-INF/manifest.xml": '<m:m><manifest:file-entry manifest:full-path="Thumbnails/thumbnail.png"/><manifest:file-entry manifest:full-path="a{id}.xml"/></m:m>', "Thumbnails/thumbnail.png": "{t}"}, "META-INF/manifest.xml", '<m:m><manifest:file-entry manifest:full-path="a{id}.xml"/></m:m>'),
+    "odf_folders": Case(odf_epub.odf_empty_folders, {"META-INF/manifest.xml": '<m:m><manifest:file-entry manifest:full-path="Configurations2/a{id}/"/><manifest:file-entry manifest:full-path="Configurations2/b.xml"/><manifest:file-entry manifest:full-path="x{id}/"/></m:m>', "Configurations2/a{id}/": "", "Configurations2/b.xml": "{t}", "x{id}/": ""}, "META-INF/manifest.xml", '<m:m><manifest:file-entry manifest:full-path="Configurations2/b.xml"/><manifest:file-entry manifest:full-path="x{id}/"/></m:m>'),
     "odf_hidden": Case(odf_epub.odf_hidden, {"content.xml": '<c><draw:frame draw:name="{id}" svg:width="0cm" svg:height="0cm"><draw:image/></draw:frame><draw:frame svg:width="1cm" svg:height="0cm">{t}</draw:frame><office:annotation> </office:annotation></c>'}, "content.xml", '<c><draw:frame svg:width="1cm" svg:height="0cm">{t}</draw:frame></c>'),
     "odf_dedup": Case(odf_epub.odf_duplicates, {"content.xml": '<c><i xlink:href="Pictures/a{id}.png"/><i xlink:href="Pictures/b.png"/></c>', "Pictures/a{id}.png": "p{t}", "Pictures/b.png": "p{t}"}, "content.xml", '<c><i xlink:href="Pictures/a{id}.png"/><i xlink:href="Pictures/a{id}.png"/></c>'),
     "epub_orphans": Case(odf_epub.epub_orphans, {"OPS/book.opf": '<package><item id="p" href="p.xhtml" media-type="application/xhtml+xml"/><item id="i{id}" href="i.png" media-type="image/png"/><item id="o" href="o{id}.png" media-type="image/png"/></package>', "OPS/p.xhtml": '<html><img src="i.png#x"/>{t}</html>', "OPS/i.png": "i", "OPS/o{id}.png": "{t}", "stray.txt": "{t}"}, "OPS/book.opf", '<package><item id="p" href="p.xhtml" media-type="application/xhtml+xml"/><item id="i{id}" href="i.png" media-type="image/png"/></package>'),

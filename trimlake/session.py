@@ -28,6 +28,14 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def bound_batches(spark: SparkSession, most: int) -> None:
+    """Let no Arrow batch hold more bytes than this, but for a single row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The path of a new folder below spark.checkpoint.dir, which driver and executors share; it goes when the application ends.
 

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trimlake.functions.codec import Refused
-from trimlake.session import ship
+from trimlake.session import bound_batches, ship
 from trimlake.sources.zip_parts import Part, read_zip, write_order, write_zip
 
 SUFFIX = ".slim"
-#: Rows in an Arrow batch of whole files.
-FILE_BATCH_ROWS = 16
+#: Bytes of an Arrow batch of whole files, but for a single larger file.
+FILE_BATCH_BYTES = 32 << 20
 PART = "doc_id string, ord int, name string, data binary, size long, attributes long, stored boolean, status string"
 
 
@@ -30,9 +30,7 @@ def scan_files(spark: SparkSession, *paths: str, recursive: bool = True, suffix:
 
 def _small_batches(spark: SparkSession) -> None:
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > FILE_BATCH_ROWS:
-        spark.conf.set(key, str(FILE_BATCH_ROWS))
+    bound_batches(spark, FILE_BATCH_BYTES)
 
 
 def unpack(docs: DataFrame) -> DataFrame:
