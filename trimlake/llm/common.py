@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimlake.session import shared_folder, ship
+from trimlake.session import bound_batches, shared_folder, ship
 
-#: Rows in an Arrow batch that carries whole texts: a batch of the longest documents must still fit a worker.
+#: Rows and bytes at most in an Arrow batch that carries whole texts.
 TEXT_BATCH_ROWS = 512
+TEXT_BATCH_BYTES = 32 << 20
 
 #: Bytes that separate words: blank and tab to carriage return.
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -23,6 +24,7 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > TEXT_BATCH_ROWS:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    bound_batches(spark, TEXT_BATCH_BYTES)
 
 
 def cut(df: DataFrame) -> DataFrame:
