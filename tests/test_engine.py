@@ -232,6 +232,13 @@ def test_reachable_with_cycles(spark):
     assert sorted(map(tuple, reachable(edges, roots, ["doc"]).collect())) == [(1, "a"), (1, "b"), (2, "x")]
 
 
+def test_reachable_along_a_chain(spark):
+    from trimlake.operators.relational import reachable
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(59, 3), (100, 101)], "src long, dst long")
+    assert sorted(r[0] for r in reachable(edges, spark.createDataFrame([(0,)], "node long")).collect()) == list(range(61))
+
+
 def test_best_candidate_needs_a_valid_one(spark):
     from trimlake.operators.relational import best_candidate
 

@@ -6,6 +6,7 @@ The same operators serve the parts of one package (group by document) and a whol
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def saved_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Steps of a closure between two written tables, and such tables that are read side by side.
+MOST_STEPS = 8
+MOST_TABLES = 16
+
+
 def duplicate_groups(df: DataFrame, content: str, order: str, within: Sequence[str] = ()) -> DataFrame:
     """Groups of rows with equal content: digest, size, canonical (the first by order), copies, raw bytes saved. Sums are partial before the shuffle."""
     data = F.col(content)
@@ -50,15 +56,23 @@ def referenced(rows: DataFrame, references: DataFrame, on: Sequence[str]) -> Dat
 def reachable(edges: DataFrame, roots: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """(within, node) for all nodes that a root leads to. edges: within, src, dst; roots: within, node.
 
-    A frontier of new nodes moves on until it is empty; what has been seen is an anti join, so cycles end.
+    A frontier of new nodes moves on until it is empty, by twice as many steps from table to table up to MOST_STEPS; what has been seen is
+    an anti join, so cycles end. The tables of what has been seen become one every MOST_TABLES.
     """
     keys = [*within, "node"]
     seen = frontier = saved_table(roots.select(*keys).distinct())
-    steps = edges.select(*within, F.col("src").alias("node"), "dst")
+    edge = edges.select(*within, F.col("src").alias("node"), "dst")
+    steps, tables = 1, 1
     while not frontier.isEmpty():
-        new = frontier.join(steps, keys).select(*within, F.col("dst").alias("node")).distinct()
-        frontier = saved_table(new.join(seen, keys, "left_anti"))
-        seen = seen.unionByName(frontier)
+        at, found = frontier, []
+        for k in range(1, steps + 1):
+            at = at.join(edge, keys).select(*within, F.col("dst").alias("node")).distinct().join(seen, keys, "left_anti")
+            found.append(at.withColumn("step", F.lit(k)))
+        new = saved_table(reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.min("step").alias("step")))
+        frontier = new.where(F.col("step") == steps).select(*keys)
+        seen, steps, tables = seen.unionByName(new.select(*keys)), min(2 * steps, MOST_STEPS), tables + 1
+        if tables % MOST_TABLES == 0:
+            seen = saved_table(seen)
     return seen
 
 
