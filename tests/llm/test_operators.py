@@ -638,6 +638,15 @@ def test_estimate_bounds_hold():
     assert (np.abs(true - middle) > ann.EPSILON * slack + 1e-4).mean() < 0.03 and np.allclose(turn.T @ turn, np.eye(32)) and turn.shape == (256, 32)
 
 
+@pytest.mark.parametrize("scale", [1e-12, 1e14, 1e25])
+def test_neighbours_of_small_and_large_vectors(spark, scale):
+    rng = np.random.default_rng(5)
+    rows = [(i, (scale * rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(300)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(vectors(spark, rows), 100, share=1.0).collect())
+    want = exact(rows, 100, 10)
+    assert len(got) == 30 and sum(j in {x for _, x in want[q]} for q, _, j in got) >= 27
+
+
 def test_recall_and_share_measured(spark):
     """More than 50 lists of which not all are looked into: nine of ten neighbours are found, and few vectors are measured."""
     rng = np.random.default_rng(1)

@@ -50,6 +50,8 @@ EPSILON = 2.5
 BLOCK_ROWS = 16384
 BLOCK_QUERIES = 1024
 TOGETHER = 64
+#: Values from which estimates are reckoned with all digits.
+LARGE = 1e12
 SEED = 20240521
 
 
@@ -97,21 +99,23 @@ class Codes:
     """Codes of one block, ready for many queries. own: the place in centres of each one's list."""
 
     def __init__(self, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, own: np.ndarray, centres: np.ndarray, turn: np.ndarray):
-        signs = np.unpackbits(codes, axis=1).astype(np.float32)
+        # Half the digits are enough for a bound, but for values whose squares they can't hold.
+        self.kind = kind = np.float32 if max(np.abs(centres).max(initial=0.0), length.max(initial=0.0)) < LARGE else np.float64
+        signs = np.unpackbits(codes, axis=1).astype(kind)
         signs *= 2
         signs -= 1
         self.signs, self.own, self.centres, self.turn = signs, own, centres, turn
         bits = len(turn)
         safe = np.where(fit > 0, fit, 1.0)
-        self.square = (length**2).astype(np.float32)
-        self.scale = (2 * length / (safe * np.sqrt(bits))).astype(np.float32)
-        self.slack = (2 * length * np.sqrt(np.maximum(0.0, 1 - safe**2)) / safe / np.sqrt(max(1, bits - 1))).astype(np.float32)
-        self.middle = np.einsum("ij,ij->i", signs, (centres @ turn.T).astype(np.float32)[own])
+        self.square = (length**2).astype(kind)
+        self.scale = (2 * length / (safe * np.sqrt(bits))).astype(kind)
+        self.slack = (2 * length * np.sqrt(np.maximum(0.0, 1 - safe**2)) / safe / np.sqrt(max(1, bits - 1))).astype(kind)
+        self.middle = np.einsum("ij,ij->i", signs, (centres @ turn.T).astype(kind)[own])
 
     def estimate(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each code and query: the estimated square of the distance, and one standard deviation of it."""
-        far = np.sqrt(((queries[None] - self.centres[:, None]) ** 2).sum(axis=2)).astype(np.float32)[self.own]
-        dot = self.signs @ (queries @ self.turn.T).T.astype(np.float32)
+        far = np.sqrt(((queries[None] - self.centres[:, None]) ** 2).sum(axis=2)).astype(self.kind)[self.own]
+        dot = self.signs @ (queries @ self.turn.T).T.astype(self.kind)
         dot -= self.middle[:, None]
         dot *= -self.scale[:, None]
         dot += self.square[:, None]
@@ -228,7 +232,7 @@ class Index:
                     elif math.isinf(epsilon):
                         at, j = np.nonzero(np.isfinite(middle))
                     else:
-                        at, j = np.nonzero(middle - epsilon * slack <= (limits[some] ** 2 * (1 + 1e-5) + 1e-6).astype(np.float32))
+                        at, j = np.nonzero(middle - middle.dtype.type(epsilon) * slack <= limits[some] ** 2 * (1 + 1e-5) + 1e-6 * np.abs(block.square[:, None]) + 1e-12)
                     qid.append(names[some][j])
                     vid.append(ids[at])
                     est.append(middle[at, j])
