@@ -57,7 +57,7 @@ SEED = 20240521
 
 def fit_centres(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    x = sample.astype(np.float32)
+    x = sample.astype(np.float64)
     centres = x[np.sort(rng.choice(len(x), size=min(lists, len(x)), replace=False))].copy()
     for _ in range(rounds):
         near = nearest_centres(x, centres, 1)[:, 0]
