@@ -22,7 +22,7 @@ def saved_table(df: DataFrame) -> DataFrame:
 
 
 #: Steps of a closure between two written tables, and such tables that are read side by side.
-MOST_STEPS = 8
+MOST_STEPS = 4
 MOST_TABLES = 16
 
 
