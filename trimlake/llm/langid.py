@@ -32,6 +32,8 @@ PER_LANG = 600
 #: Share of PER_LANG that the bound on the hash lets through on average, and numbers that the hash takes.
 SPARE = 1.3
 HASHES = 1 << 40
+#: Languages up to which their bounds are broadcast.
+BROADCAST_LANGS = 10_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
 HELD_FOR_HEAT = 0.2
@@ -190,6 +192,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     bounds = [(lang, int(min(1.0, SPARE * per_lang / n) * HASHES)) for lang, n in counts.items()]
     edge = rows.sparkSession.createDataFrame(bounds or [("", 0)], "lang string, bound long")
+    edge = F.broadcast(edge) if len(bounds) <= BROADCAST_LANGS else edge
     keyed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HASHES)))
     # Rows that share one id share its hash: the limit keeps the sample's bound.
     sample = keyed.join(edge, "lang").where("h <= bound").select("lang", "text", "h").mapInArrow(_sparse, "lang string, bucket array<int>, n array<int>, h long").limit(2 * per_lang * max(1, len(counts)))
