@@ -17,6 +17,7 @@ from trimlake.functions import codec, html_text, pdf_bytes, rtf_text, xml_text
 from trimlake.functions.codec import Refused
 from trimlake.functions.detect import BY_NAME, FORMATS, detect
 from trimlake.functions.validate import validate
+from trimlake.plans import function_cases
 from trimlake.sources.zip_parts import Part, read_zip, write_zip
 
 
@@ -88,6 +89,22 @@ def test_detect(data, hint, name):
     assert detect(data, hint) == name
 
 
+@pytest.mark.parametrize("text", ["xl/", "word/ xl/ ppt/", "META-INF/container.xml", "application/epub+zip", "<svg <html"])
+@pytest.mark.parametrize("name, parts", function_cases.FAMILIES)
+def test_contents_do_not_decide_a_package(name, parts, text):
+    """Bytes of a part, packed or stored, are no names of parts."""
+    held = [*(Part(n, d.encode()) for n, d in parts.items()), Part("z.txt", text.encode(), stored=True)]
+    assert detect(write_zip(held, best=False)) == name
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:  # a mimetype entry that is packed counts too
+        for p in held:
+            z.writestr(p.name, p.data)
+    assert detect(out.getvalue()) == name
+    assert detect(out.getvalue()[:-30], f"a.{name.lower()}") != "Unknown"  # no directory: as bytes
+    plain = write_zip([Part("z.txt", text.encode(), stored=True)])
+    assert detect(plain) == "Unknown"
+
+
 def test_format_dimension():
     assert len(FORMATS) == 26 and BY_NAME["JPEG"].extension == ".jpg"
 

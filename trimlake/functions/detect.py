@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trimlake.functions.codec import Refused, inflate
+
 
 @dataclass(frozen=True)
 class Format:
@@ -63,6 +66,8 @@ OFFICE = (
     ("xl/", (".xlsx", ".xlsm", ".xltx", ".xltm")),
     ("ppt/", (".pptx", ".pptm", ".potx", ".potm", ".ppsx", ".ppsm")),
 )
+#: Most bytes of the entry that names a package's type.
+MOST_TYPE = 1 << 12
 HTML_MARKS = ("<!doctype html", "<!DOCTYPE html", "<html")
 #: Extensions that decide where no content does.
 FALLBACK = (
@@ -97,6 +102,43 @@ class _Bytes:
         return next((value for test, value in rules if test), otherwise)
 
 
+def _listed(data: bytes) -> tuple[list[bytes], bytes] | None:
+    """The names in a package's directory, and its mimetype entry (empty if there is none); None if there is no whole directory."""
+    end = data.rfind(b"PK\x05\x06", max(0, len(data) - 65_557))
+    if end < 0 or end + 22 > len(data):
+        return None
+    count, _, at = struct.unpack_from("<HII", data, end + 10)
+    names, kind = [], b""
+    for _ in range(count):
+        if data[at : at + 4] != b"PK\x01\x02" or at + 46 > len(data):
+            return None
+        method, packed = struct.unpack_from("<H8xI", data, at + 10)
+        n, extra, note, local = struct.unpack_from("<HHH8xI", data, at + 28)
+        name = data[at + 46 : at + 46 + n]
+        names.append(name)
+        at += 46 + n + extra + note
+        if name == b"mimetype" and data[local : local + 4] == ZIP and local + 30 <= len(data):
+            start = local + 30 + sum(struct.unpack_from("<HH", data, local + 26))
+            kind = data[start : start + min(packed, MOST_TYPE)]
+            try:
+                kind = inflate(kind, -15, MOST_TYPE) if method == 8 else kind
+            except Refused:
+                kind = b""
+    return names, kind
+
+
+class _Package(_Bytes):
+    """The same tests on a package: marks are looked for in its list of parts and its mimetype entry, as packed contents may hold the same bytes by chance."""
+
+    def __init__(self, data: bytes, hint: str, names: list[bytes], kind: bytes):
+        super().__init__(data, hint)
+        self.names, self.kind = names, kind
+
+    def holds(self, x: str):
+        mark = x.encode()
+        return mark in self.kind or any(n.startswith(mark) if x.endswith("/") else n == mark for n in self.names)
+
+
 class _Columns:
     """The same tests on columns."""
 
@@ -196,11 +238,12 @@ def _rules(v):
 
 def detect(data: bytes, hint: str = "") -> str:
     """The name of the format of one value; hint is a file name."""
-    return _rules(_Bytes(data, hint))
+    listed = _listed(data) if data[:4] == ZIP else None
+    return _rules(_Package(data, hint, *listed) if listed else _Bytes(data, hint))
 
 
 def detect_column(content: Column, hint: Column) -> Column:
-    """The same for binary and string columns. Null or empty content is Unknown."""
+    """The same for binary and string columns, but that marks of packages are looked for in all their bytes. Null or empty content is Unknown."""
     return _rules(_Columns(content, hint))
 
 
