@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -581,6 +582,50 @@ def test_work_is_linear_in_a_bucket(spark, monkeypatch):
     assert made[800] <= 2.6 * made[400] and made[800] <= 6 * made[200] and made[800] <= 60 * 800
 
 
+@pytest.mark.parametrize("block", [1024, 64, 7])
+def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, block):
+    """Texts that share most sketches and are similar to one of the others each, which none of a few leaders is: all pairs in a bucket count."""
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", block)
+
+    def one_bucket(batches, own=near_dups._sketches):
+        for b in own(batches):
+            yield b.set_column(b.schema.get_field_index("keys"), "keys", pa.array([[7]] * len(b), pa.list_(pa.int64())))
+
+    monkeypatch.setattr(near_dups, "_sketches", one_bucket)
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([8, 40, 41, 49, 50, 51, 200]))]
+        more = list(words)
+        for k in rng.sample(range(len(more)), len(more) // 5 if g % 2 else len(more) // 10):
+            more[k] = f"x{rng.randint(0, 10**9)}"
+        rows += [" ".join(words), " ".join(more)] + ([" ".join([*words, *(f"y{k}" for k in range(len(words) // 4))])] if g % 3 == 0 else [])
+    of, first = brute_classes(rows), {}
+    for i, r in enumerate(of):
+        first.setdefault(r, i)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert dict(near_dups.classes(df).select("doc_id", "class_id").collect()) == {i: first[r] for i, r in enumerate(of)}
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_bins_lose_no_similar_pair(seed):
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(20):
+        a = rng.integers(0, 300, rng.integers(1, 700)).astype(np.uint64)
+        texts += [a, np.delete(a, rng.integers(0, len(a), len(a) // 6)), np.append(a[::-1], a[: len(a) // 7])]
+    counts = np.array([near_dups.bins(t) for t in texts])
+    n = np.array([len(t) for t in texts])
+    k = np.arange(len(texts))
+    batches = list(near_dups._pairs(np.zeros(len(k), np.int64), k, k, n, np.full(len(k), 2), counts))
+    left = {(a, b) for x in batches for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+    assert len(left) < len(k) * (len(k) - 1) / 2
+    for i in k:
+        for j in range(i):
+            if (j, i) not in left:
+                assert not near_dups.similar(texts[i].tolist(), texts[j].tolist())
+
+
 @pytest.mark.parametrize("seed", range(100))
 def test_word_counts_lose_no_similar_pair(seed):
     rng = random.Random(seed)

@@ -8,10 +8,12 @@ candidates whose words align with at most 1 - SIMILARITY of the longer one's len
 The k-mers are short: with a fifth of the words replaced, texts share 0.2 of their five-word shingles, which no few sketches tell from texts
 that share a passage, but nearly half of their pairs of words; ROWS of these in order then agree in one sketch of twenty.
 
-Equal texts are one node from the start. The work is linear in the number of nodes, whatever the size of a bucket: a bucket's members meet its leader
-and not each other. Each node is first aligned with the leader that it shares most buckets with, then with its other leaders as far as
+Equal texts are one node from the start. Each node is first aligned with the leader that it shares most buckets with, then with its other leaders as far as
 they are still in other components. Buckets that the links leave in several components are looked at again, in ROUNDS rounds: each component sends
-one member to a round, and a new leader is drawn among these. What is lost by this against the alignment of all pairs of a bucket is measured (README).
+one member to a round, and a new leader is drawn among these. So large groups of near copies become one component by work that is linear in them.
+What is left are pairs of one bucket that lie in different components and have not met: all of them are compared, by counts of words in BINS bins of their hashes, which
+bound the edits from below, and those that the bound leaves are aligned. So the classes are those of the alignment of all pairs in all buckets.
+The comparisons grow with the square of the texts in a bucket that are not similar, but are dealt out in blocks of BLOCK_ROWS texts, and rows grow with BLOCK_ROWS times less.
 
 Defined results: a null text counts as empty; texts without words are equal only to the same text; texts of fewer than K words are one
 k-mer; a class's id is its least doc_id (null if all are null); repeated rows share their class.
@@ -40,6 +42,11 @@ ROUNDS = 6
 #: Hashes of a text that are looked at together; nodes up to which those wanted are broadcast (8 bytes each), beyond that they are shuffled.
 BLOCK = 1 << 14
 BROADCAST_NODES = 200_000
+#: Bins of a text's words; texts of a bucket in a block; pairs compared at once; step from one class of lengths to the next (a little more than 1 / SIMILARITY).
+BINS = 256
+BLOCK_ROWS = 1024
+PAIRS = 1 << 14
+BAND = 1.26
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -112,11 +119,17 @@ class Words:
         return np.array([of[w] for w in words], dtype=np.uint64)
 
 
+def bins(ids: np.ndarray) -> np.ndarray:
+    """How many of a text's words have each remainder of their hashes, up to 255."""
+    return np.minimum(np.bincount((ids & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in batches:
         ids = [words.ids(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(map(len, ids), pa.int64()), pa.array(map(sketch, ids), pa.list_(pa.int64()))], ["doc_id", "node", "n_words", "keys"])
+        held = [bins(x).tobytes() for x in ids]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(map(len, ids), pa.int64()), pa.array(map(sketch, ids), pa.list_(pa.int64())), pa.array(held, pa.binary())], ["doc_id", "node", "n_words", "keys", "bins"])
 
 
 def banded_distance(a: list[int], b: list[int], limit: int) -> int:
@@ -197,6 +210,75 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one cell, in different components, that lengths and bins leave. Rows come sorted by cell; those of side 2 meet all of it, others those of the other side."""
+    names = ("cell", "id", "comp", "n_words", "side")
+    held = None
+    for b in batches:
+        new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        new.append(np.frombuffer(b"".join(b.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS))
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        # The last cell may go on in the next batch.
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if whole:
+            yield from _pairs(*(x[:whole] for x in held))
+            held = [x[whole:] for x in held]
+    if held is not None:
+        yield from _pairs(*held)
+
+
+def _pairs(cell: np.ndarray, ids: np.ndarray, comp: np.ndarray, n_words: np.ndarray, side: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    low, high = [], []
+    total = counts.sum(axis=1, dtype=np.int64)
+    at = np.arange(len(cell))
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at < len(cell) - step]
+        at = at[cell[at] == cell[at + step]]
+        i, j = at, at + step
+        longer = np.maximum(n_words[i], n_words[j])
+        limit = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+        ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j])) & (longer - np.minimum(n_words[i], n_words[j]) <= limit)
+        i, j, limit = i[ok], j[ok], limit[ok]
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+            a, b = counts[x], counts[y]
+            more = (np.maximum(a, b) - b).sum(axis=1, dtype=np.int64)  # an edit adds one word at most and removes one at most
+            near = np.maximum(more, more - total[x] + total[y]) <= limit[k : k + PAIRS]
+            low.append(np.minimum(ids[x[near]], ids[y[near]]))
+            high.append(np.maximum(ids[x[near]], ids[y[near]]))
+    if low:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
+
+
+def _cells(rest: DataFrame) -> DataFrame:
+    """rest: key, h, id, comp, n_words, bins. The rows dealt out to cells, in which any two rows of one key that lengths may leave meet.
+
+    A key with at most BLOCK_ROWS rows is one cell. Of others the rows of one class of lengths are cut into blocks; two blocks of one class, or of a class and the one below, are a cell.
+    """
+    rest = rest.withColumn("band", F.floor(F.log(BAND, F.col("n_words").cast("double"))).cast("int"))
+    sizes = rest.groupBy("key", "band").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))  # one entry a class of lengths
+
+    def blocks(step: int) -> Column:
+        n = F.coalesce(F.try_element_at("blocks", F.col("band") + F.lit(step)), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def cell(band: Column, kind: int, one: Column, two: Column) -> Column:
+        return F.xxhash64("key", band, F.lit(kind), one, two).alias("cell")
+
+    own = F.pmod(F.xxhash64("h"), F.element_at("blocks", F.col("band"))).cast("int")
+    rows = rest.join(sizes, "key").withColumn("own", own)
+    one = F.col("own")
+    same = F.transform(blocks(0), lambda t: F.struct(cell(F.col("band"), 0, F.least(one, t), F.greatest(one, t)), F.when(one == t, 2).otherwise((one > t).cast("int")).alias("side")))
+    below = F.transform(blocks(-1), lambda t: F.struct(cell(F.col("band"), 1, one, t), F.lit(0).alias("side")))
+    above = F.transform(blocks(1), lambda t: F.struct(cell(F.col("band") + 1, 1, t, one), F.lit(1).alias("side")))
+    whole = F.array(F.struct(F.xxhash64("key").alias("cell"), F.lit(2).alias("side")))
+    dealt = rows.select(F.explode(F.when(F.col("n") <= BLOCK_ROWS, whole).otherwise(F.concat(same, below, above))).alias("at"), "id", "comp", "n_words", "bins")
+    return dealt.select("at.cell", "id", "comp", "n_words", "at.side", "bins").repartition("cell").sortWithinPartitions("cell")
+
+
 def with_node(docs: DataFrame) -> DataFrame:
     """doc_id, text, node: 16 bytes of the text's digest."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -245,8 +327,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id, class_node for every row of docs; class_node is the node of the class's least doc_id."""
     tune(docs.sparkSession)
     texts = with_node(docs)
-    rows = cut(texts.select("doc_id", "node", "text").mapInArrow(_sketches, "doc_id long, node binary, n_words long, keys array<long>"))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
+    rows = cut(texts.select("doc_id", "node", "text").mapInArrow(_sketches, "doc_id long, node binary, n_words long, keys array<long>, bins binary"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("node")))
     # A member, as leaders are chosen: by a hash of its text, so that they are the same whatever the ids.
     members = nodes.select(F.explode("keys").alias("key"), F.struct("h", "id", "n_words").alias("m"))
@@ -278,13 +360,24 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = label.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rounds = [f"r{k}" for k in range(ROUNDS)]
     sent = [F.min(F.struct(F.xxhash64("m.h", "key", F.lit(r)).alias("h"), F.col("m"), F.col("comp"))).alias(r) for r in rounds]
-    one = cut(label.join(mixed, "key").groupBy("key", "comp").agg(*sent).drop("comp"))
+    label = cut(label.join(mixed, "key"))
+    one = cut(label.groupBy("key", "comp").agg(*sent).drop("comp"))
     lead = one.groupBy("key").agg(*(F.min(r).alias(f"lead_{r}") for r in rounds))
     met = one.join(lead, "key").select(F.explode(F.array(*(F.struct(F.col(f"lead_{r}").alias("lead"), F.col(r).alias("sent")) for r in rounds))).alias("p")).select("p.*")
     met = met.where((F.col("lead.comp") != F.col("sent.comp")) & _fits("sent.m.n_words", "lead.m.n_words"))
     met = cut(met.select(F.col("lead.m.id").alias("a"), F.col("sent.m.id").alias("b")).distinct().join(others, ["a", "b"], "left_anti"))
     if not met.isEmpty():
-        comp = components(links.unionByName(_aligned(met, known)))
+        links = cut(links.unionByName(_aligned(met, known)))
+        comp = components(links)
+    # What is still apart: all pairs of a bucket, but those that were aligned.
+    label = label.select("key", "m.*", F.col("m.id").alias("b")).join(component("b"), "b", "left").select("key", "h", "id", "n_words", F.coalesce("root_b", "b").alias("comp"))
+    mixed = label.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rest = cut(label.join(mixed, "key").join(nodes.select("id", "bins"), "id"))
+    done = others.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = _cells(rest).mapInArrow(_unmet, "a long, b long").distinct()
+    found = cut(found.join(done, ["a", "b"], "left_anti"))
+    if not found.isEmpty():
+        comp = components(links.unionByName(_aligned(found, known)))
     label = cut(nodes.select("id", "node", "first_id").join(comp.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root")))
     heads = label.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("node"))).alias("head"))
     named = label.join(heads, "root").select(F.col("node"), F.col("head.first_id").alias("class_id"), F.col("head.node").alias("class_node"))
