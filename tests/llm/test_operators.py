@@ -617,7 +617,7 @@ def test_bins_lose_no_similar_pair(seed):
     counts = np.array([near_dups.bins(t) for t in texts])
     n = np.array([len(t) for t in texts])
     k = np.arange(len(texts))
-    batches = list(near_dups._pairs(np.zeros(len(k), np.int64), k, k, n, np.full(len(k), 2), counts))
+    batches = list(near_dups._pairs(np.zeros(len(k), np.int64), np.full(len(k), 5), k, k, n, np.full(len(k), 2), counts, np.full((len(k), 1), 5)))
     left = {(a, b) for x in batches for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
     assert len(left) < len(k) * (len(k) - 1) / 2
     for i in k:

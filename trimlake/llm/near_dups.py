@@ -120,8 +120,8 @@ class Words:
 
 
 def bins(ids: np.ndarray) -> np.ndarray:
-    """How many of a text's words have each remainder of their hashes, up to 255."""
-    return np.minimum(np.bincount((ids & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    """How many of a text's words have each remainder of their hashes, up to 65535."""
+    return np.minimum(np.bincount((ids & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535).astype("<u2")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,11 +212,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of rows of one cell, in different components, that lengths and bins leave. Rows come sorted by cell; those of side 2 meet all of it, others those of the other side."""
-    names = ("cell", "id", "comp", "n_words", "side")
+    names = ("cell", "key", "id", "comp", "n_words", "side")
     held = None
     for b in batches:
         new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-        new.append(np.frombuffer(b"".join(b.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS))
+        new.append(np.frombuffer(b"".join(b.column("bins").to_pylist()), dtype="<u2").reshape(-1, BINS))
+        keys = np.zeros((len(b), SKETCHES), dtype=np.int64)
+        for row, k in zip(keys, b.column("keys").to_pylist()):
+            row[: len(k)] = k
+        new.append(keys)
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         # The last cell may go on in the next batch.
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -227,7 +231,8 @@ def _unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pairs(*held)
 
 
-def _pairs(cell: np.ndarray, ids: np.ndarray, comp: np.ndarray, n_words: np.ndarray, side: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(cell: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n_words: np.ndarray, side: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A pair that shares several keys is given out for the first of them."""
     low, high = [], []
     total = counts.sum(axis=1, dtype=np.int64)
     at = np.arange(len(cell))
@@ -246,14 +251,17 @@ def _pairs(cell: np.ndarray, ids: np.ndarray, comp: np.ndarray, n_words: np.ndar
             a, b = counts[x], counts[y]
             more = (np.maximum(a, b) - b).sum(axis=1, dtype=np.int64)  # an edit adds one word at most and removes one at most
             near = np.maximum(more, more - total[x] + total[y]) <= limit[k : k + PAIRS]
-            low.append(np.minimum(ids[x[near]], ids[y[near]]))
-            high.append(np.maximum(ids[x[near]], ids[y[near]]))
+            x, y = x[near], y[near]
+            first = (keys[x] == keys[y]).argmax(axis=1)
+            here = keys[x, first] == key[x]
+            low.append(np.minimum(ids[x[here]], ids[y[here]]))
+            high.append(np.maximum(ids[x[here]], ids[y[here]]))
     if low:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
 
 
 def _cells(rest: DataFrame) -> DataFrame:
-    """rest: key, h, id, comp, n_words, bins. The rows dealt out to cells, in which any two rows of one key that lengths may leave meet.
+    """rest: key, h, id, comp, n_words, bins, keys. The rows dealt out to cells, in which any two rows of one key that lengths may leave meet.
 
     A key with at most BLOCK_ROWS rows is one cell. Of others the rows of one class of lengths are cut into blocks; two blocks of one class, or of a class and the one below, are a cell.
     """
@@ -275,8 +283,8 @@ def _cells(rest: DataFrame) -> DataFrame:
     below = F.transform(blocks(-1), lambda t: F.struct(cell(F.col("band"), 1, one, t), F.lit(0).alias("side")))
     above = F.transform(blocks(1), lambda t: F.struct(cell(F.col("band") + 1, 1, t, one), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.xxhash64("key").alias("cell"), F.lit(2).alias("side")))
-    dealt = rows.select(F.explode(F.when(F.col("n") <= BLOCK_ROWS, whole).otherwise(F.concat(same, below, above))).alias("at"), "id", "comp", "n_words", "bins")
-    return dealt.select("at.cell", "id", "comp", "n_words", "at.side", "bins").repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.select(F.explode(F.when(F.col("n") <= BLOCK_ROWS, whole).otherwise(F.concat(same, below, above))).alias("at"), "key", "id", "comp", "n_words", "bins", "keys")
+    return dealt.select("at.cell", "key", "id", "comp", "n_words", "at.side", "bins", "keys").repartition("cell").sortWithinPartitions("cell")
 
 
 def with_node(docs: DataFrame) -> DataFrame:
@@ -372,7 +380,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # What is still apart: all pairs of a bucket, but those that were aligned.
     label = label.select("key", "m.*", F.col("m.id").alias("b")).join(component("b"), "b", "left").select("key", "h", "id", "n_words", F.coalesce("root_b", "b").alias("comp"))
     mixed = label.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = cut(label.join(mixed, "key").join(nodes.select("id", "bins"), "id"))
+    rest = cut(label.join(mixed, "key").join(nodes.select("id", "bins", "keys"), "id"))
     done = others.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = _cells(rest).mapInArrow(_unmet, "a long, b long").distinct()
     found = cut(found.join(done, ["a", "b"], "left_anti"))
