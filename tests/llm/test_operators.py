@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import random
 import time
+import weakref
 import zlib
 
 import numpy as np
@@ -283,6 +285,19 @@ def test_wavelet_matrix(n, block, monkeypatch):
     assert m.count(61) == 0 and m.count(1 << 20) == 0 and m.select(3, n) == -1 and m.count(3) == int((ids == 3).sum())
 
 
+def test_a_shard_goes_when_it_is_done_with():
+    """No cycle of references holds its bytes until the collector runs."""
+    shard = wavelet.open_shard(wavelet.pack_shard([1], np.array([3]), np.array([4, 5, 2], dtype="<u4")))
+    assert shard.matrix.all().tolist() == [4, 5, 2]
+    gone = weakref.ref(shard)
+    gc.disable()
+    try:
+        del shard
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_a_shard_is_read_in_part():
     ids = (np.random.default_rng(0).zipf(1.2, 1 << 19) % 50_000).astype(np.uint32)
     raw = wavelet.pack_shard([7], np.array([len(ids)]), ids)
