@@ -624,6 +624,59 @@ def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, block):
         assert sorted(r["doc_id"] for r in near_dups.keep_one(df).collect()) == sorted(set(first.values()))
 
 
+def test_pairs_of_a_bucket_are_settled_in_it(spark, monkeypatch):
+    """Texts of one bucket with the same words in other orders, which no counts tell apart: no pair of them leaves the bucket, and similar ones still meet."""
+    aligned, counts = near_dups._aligned, []
+    monkeypatch.setattr(near_dups, "_aligned", lambda pairs, texts: counts.append(pairs.count()) or aligned(pairs, texts))
+
+    def one_bucket(batches, own=near_dups._sketches):
+        for b in own(batches):
+            yield b.set_column(b.schema.get_field_index("keys"), "keys", pa.array([[7]] * len(b), pa.list_(pa.int64())))
+
+    monkeypatch.setattr(near_dups, "_sketches", one_bucket)
+    for n in (60, 240):
+        rng = random.Random(n)
+        words = [f"w{k}" for k in range(30)]
+        rows = [" ".join(rng.sample(words, 30)) for _ in range(n)]
+        rows += [t.replace("w7 ", "x ").replace("w8 ", "y ") for t in rows[: n // 6]]
+        of, first = brute_classes(rows), {}
+        for i, r in enumerate(of):
+            first.setdefault(r, i)
+        counts.clear()
+        got = dict(near_dups.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", "class_id").collect())
+        assert got == {i: first[r] for i, r in enumerate(of)} and len(set(got.values())) == n
+        assert sum(counts) <= (near_dups.ROUNDS + 2) * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_links_given_out_join_components(seed):
+    """Of a cell come links that join what is similar, none for a pair joined before; pairs of texts that come without their words are left to be aligned."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(12):
+        a = rng.integers(0, 2**63, 40).astype(np.uint64)
+        texts += [np.where(rng.random(40) < share, rng.integers(0, 2**63, 40).astype(np.uint64), a) for share in (0, 0.05, 0.1, 0.15)] + [rng.permutation(a)]
+    n = len(texts)
+    for short in (np.ones(n, bool), rng.random(n) < 0.5, np.zeros(n, bool)):
+        held = [t.astype("<u8").tobytes() if s else None for t, s in zip(texts, short)]
+        table = pa.table({
+            "cell": pa.array([1] * n), "key": pa.array([5] * n), "id": pa.array(range(n)), "comp": pa.array(range(n)), "n_words": pa.array([40] * n), "side": pa.array([2] * n, pa.int32()),
+            "bins": pa.array([near_dups.bins(t).tobytes() for t in texts]), "keys": pa.array([[5]] * n), "words": pa.array(held, pa.binary()),
+        })
+        rows = [r for b in near_dups._unmet(iter(table.to_batches(max_chunksize=17))) for r in b.to_pylist()]
+        sure, unsure = ([(r["a"], r["b"]) for r in rows if r["sure"] == x] for x in (True, False))
+        similar = {(i, j) for j in range(n) for i in range(j) if near_dups.similar(texts[i].tolist(), texts[j].tolist())}
+        assert set(sure) <= similar and {p for p in similar if not (short[p[0]] and short[p[1]])} <= set(unsure) and not any(short[i] and short[j] for i, j in unsure)
+
+        def parts(links):
+            root = list(range(n))
+            for i, j in links:
+                root = [root[i] if r == root[j] else r for r in root]
+            return [root.index(r) for r in root]
+
+        assert parts(sure) == parts(p for p in similar if short[p[0]] and short[p[1]]) and len(sure) == n - len(set(parts(sure)))
+
+
 @pytest.mark.parametrize("seed", range(100))
 def test_bins_lose_no_similar_pair(seed):
     rng = np.random.default_rng(seed)

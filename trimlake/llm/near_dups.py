@@ -14,6 +14,7 @@ one member to a round, and a new leader is drawn among these. So large groups of
 What is left are pairs of one bucket that lie in different components and have not met: all of them are compared, by counts of words in BINS bins of their hashes, which
 bound the edits from below, and those that the bound leaves are aligned. So the classes are those of the alignment of all pairs in all buckets.
 The comparisons grow with the square of the texts in a bucket that are not similar, but are dealt out in blocks of BLOCK_ROWS texts, and rows grow with BLOCK_ROWS times less.
+Texts of up to HELD words are aligned where they are compared, by hashes of their words, and only links that join two components are given out; pairs of longer ones are given out and aligned by their texts.
 
 Defined results: a null text counts as empty; texts without words are equal only to the same text; texts of fewer than K words are one
 k-mer; a class's id is its least doc_id (null if all are null); repeated rows share their class.
@@ -47,6 +48,10 @@ BINS = 256
 BLOCK_ROWS = 1024
 PAIRS = 1 << 14
 BAND = 1.26
+#: Words up to which the hashes of a text's words go with it to the blocks (8 bytes each); bins of these, for pairs that BINS leave; such pairs looked at together.
+HELD = 1024
+FINER = 1024
+FEW = 1 << 11
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -124,6 +129,17 @@ def bins(ids: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((ids & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535).astype("<u2")
 
 
+def finer(ids: np.ndarray) -> np.ndarray:
+    """The same by other bits of the hashes, for texts of up to HELD words."""
+    return np.bincount((ids // np.uint64(BINS) & np.uint64(FINER - 1)).astype(np.int64), minlength=FINER).astype(np.uint16)
+
+
+def _edits(a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """A bound of the edits from below, for rows of counts and by how much those of a are more in all: an edit adds one word at most and removes one at most."""
+    more = (np.maximum(a, b) - b).sum(axis=1, dtype=np.int64)
+    return np.maximum(more, more - longer)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in batches:
@@ -199,6 +215,31 @@ def similar(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
     return False
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and, for texts of up to HELD words, the hashes of all words."""
+    words = Words()
+    for b in batches:
+        ids = [words.ids(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.astype("<u8").tobytes() if len(x) <= HELD else None for x in ids], pa.binary())], ["id", "words"])
+
+
+class Joined:
+    """Components that a task has linked."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, words = None, []
     for b in batches:
@@ -211,9 +252,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one cell, in different components, that lengths and bins leave. Rows come sorted by cell; those of side 2 meet all of it, others those of the other side."""
+    """Pairs of rows of one cell, in different components, that lengths and bins leave. Rows come sorted by cell; those of side 2 meet all of it, others those of the other side.
+
+    Pairs of texts that come with their words are aligned here (sure is true), and left out where links given out before already join their components.
+    """
     names = ("cell", "key", "id", "comp", "n_words", "side")
-    held = None
+    held, joined = None, Joined()
     for b in batches:
         new = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
         new.append(np.frombuffer(b"".join(b.column("bins").to_pylist()), dtype="<u2").reshape(-1, BINS))
@@ -221,20 +265,43 @@ def _unmet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, k in zip(keys, b.column("keys").to_pylist()):
             row[: len(k)] = k
         new.append(keys)
+        new.append(np.array([*b.column("words").to_pylist(), None], dtype=object)[:-1])
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         # The last cell may go on in the next batch.
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if whole:
-            yield from _pairs(*(x[:whole] for x in held))
+            yield from _pairs(*(x[:whole] for x in held), joined)
             held = [x[whole:] for x in held]
     if held is not None:
-        yield from _pairs(*held)
+        yield from _pairs(*held, joined)
 
 
-def _pairs(cell: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n_words: np.ndarray, side: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(
+    cell: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n_words: np.ndarray, side: np.ndarray, counts: np.ndarray, keys: np.ndarray, words: np.ndarray | None = None, joined: Joined | None = None
+) -> Iterator[pa.RecordBatch]:
     """A pair that shares several keys is given out for the first of them."""
-    low, high = [], []
+    low, high, sure = [], [], []
+    split: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def own(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in split:
+            h = np.frombuffer(words[k], dtype="<u8")
+            split[k] = h, finer(h)
+        return split[k]
+
+    def linked(x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> Iterator[bool]:
+        """For each pair, whether it joins two components that no pair before has joined."""
+        for k in range(0, len(x), FEW):
+            one, two = ([own(i) for i in z[k : k + FEW].tolist()] for z in (x, y))
+            near = _edits(np.stack([w[1] for w in one]), np.stack([w[1] for w in two]), n_words[x[k : k + FEW]] - n_words[y[k : k + FEW]]) <= limit[k : k + FEW]
+            for i, j, v, w, ok in zip(comp[x[k : k + FEW]].tolist(), comp[y[k : k + FEW]].tolist(), one, two, near.tolist()):
+                ok = ok and (i := joined.root(i)) != (j := joined.root(j)) and similar(v[0].tolist(), w[0].tolist())
+                if ok:
+                    joined.join(i, j)
+                yield ok
+
     total = counts.sum(axis=1, dtype=np.int64)
+    brief = None if words is None else np.array([w is not None for w in words], dtype=bool)
     at = np.arange(len(cell))
     step = 0
     while len(at):
@@ -247,21 +314,27 @@ def _pairs(cell: np.ndarray, key: np.ndarray, ids: np.ndarray, comp: np.ndarray,
         ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j])) & (longer - np.minimum(n_words[i], n_words[j]) <= limit)
         i, j, limit = i[ok], j[ok], limit[ok]
         for k in range(0, len(i), PAIRS):
-            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
-            a, b = counts[x], counts[y]
-            more = (np.maximum(a, b) - b).sum(axis=1, dtype=np.int64)  # an edit adds one word at most and removes one at most
-            near = np.maximum(more, more - total[x] + total[y]) <= limit[k : k + PAIRS]
-            x, y = x[near], y[near]
+            x, y, most = i[k : k + PAIRS], j[k : k + PAIRS], limit[k : k + PAIRS]
+            near = _edits(counts[x], counts[y], total[x] - total[y]) <= most
+            x, y, most = x[near], y[near], most[near]
             first = (keys[x] == keys[y]).argmax(axis=1)
             here = keys[x, first] == key[x]
-            low.append(np.minimum(ids[x[here]], ids[y[here]]))
-            high.append(np.maximum(ids[x[here]], ids[y[here]]))
+            x, y, most = x[here], y[here], most[here]
+            told = np.zeros(len(x), dtype=bool)
+            if words is not None:
+                told = brief[x] & brief[y]
+                left = ~told
+                left[told] = list(linked(x[told], y[told], most[told]))
+                x, y, told = x[left], y[left], told[left]
+            low.append(np.minimum(ids[x], ids[y]))
+            high.append(np.maximum(ids[x], ids[y]))
+            sure.append(told)
     if low:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high)), pa.array(np.concatenate(sure))], ["a", "b", "sure"])
 
 
 def _cells(rest: DataFrame) -> DataFrame:
-    """rest: key, h, id, comp, n_words, bins, keys. The rows dealt out to cells, in which any two rows of one key that lengths may leave meet.
+    """rest: key, h, id, comp, n_words, bins, keys, words. The rows dealt out to cells, in which any two rows of one key that lengths may leave meet.
 
     A key with at most BLOCK_ROWS rows is one cell. Of others the rows of one class of lengths are cut into blocks; two blocks of one class, or of a class and the one below, are a cell.
     """
@@ -283,8 +356,8 @@ def _cells(rest: DataFrame) -> DataFrame:
     below = F.transform(blocks(-1), lambda t: F.struct(cell(F.col("band"), 1, one, t), F.lit(0).alias("side")))
     above = F.transform(blocks(1), lambda t: F.struct(cell(F.col("band") + 1, 1, t, one), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.xxhash64("key").alias("cell"), F.lit(2).alias("side")))
-    dealt = rows.select(F.explode(F.when(F.col("n") <= BLOCK_ROWS, whole).otherwise(F.concat(same, below, above))).alias("at"), "key", "id", "comp", "n_words", "bins", "keys")
-    return dealt.select("at.cell", "key", "id", "comp", "n_words", "at.side", "bins", "keys").repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.select(F.explode(F.when(F.col("n") <= BLOCK_ROWS, whole).otherwise(F.concat(same, below, above))).alias("at"), "key", "id", "comp", "n_words", "bins", "keys", "words")
+    return dealt.select("at.cell", "key", "id", "comp", "n_words", "at.side", "bins", "keys", "words").repartition("cell").sortWithinPartitions("cell")
 
 
 def with_node(docs: DataFrame) -> DataFrame:
@@ -380,12 +453,14 @@ def classes(docs: DataFrame) -> DataFrame:
     # What is still apart: all pairs of a bucket, but those that were aligned.
     label = label.select("key", "m.*", F.col("m.id").alias("b")).join(component("b"), "b", "left").select("key", "h", "id", "n_words", F.coalesce("root_b", "b").alias("comp"))
     mixed = label.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = cut(label.join(mixed, "key").join(nodes.select("id", "bins", "keys"), "id"))
+    rest = cut(label.join(mixed, "key"))
+    hashes = known.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_hashes, "id long, words binary")
+    rest = cut(rest.join(nodes.select("id", "bins", "keys").join(hashes, "id"), "id"))
     done = others.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = _cells(rest).mapInArrow(_unmet, "a long, b long").distinct()
-    found = cut(found.join(done, ["a", "b"], "left_anti"))
+    found = cut(_cells(rest).mapInArrow(_unmet, "a long, b long, sure boolean"))
     if not found.isEmpty():
-        comp = components(links.unionByName(_aligned(found, known)))
+        unsure = cut(found.where(~F.col("sure")).select("a", "b").join(done, ["a", "b"], "left_anti"))
+        comp = components(links.unionByName(found.where("sure").select("a", "b")).unionByName(_aligned(unsure, known)))
     label = cut(nodes.select("id", "node", "first_id").join(comp.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "first_id", F.coalesce("root", "id").alias("root")))
     heads = label.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("node"))).alias("head"))
     named = label.join(heads, "root").select(F.col("node"), F.col("head.first_id").alias("class_id"), F.col("head.node").alias("class_node"))
