@@ -648,6 +648,43 @@ def test_pairs_of_a_bucket_are_settled_in_it(spark, monkeypatch):
         assert sum(counts) <= (near_dups.ROUNDS + 2) * len(rows)
 
 
+def test_small_tables_have_few_files(spark):
+    """Components of a few links, dealt over many partitions: one file a table, and the same components."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 400) if i % 10 != 9], "a long, b long").repartition(40)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = near_dups.components(links)
+        assert {r["node"]: r["root"] for r in got.collect()} == {i: i // 10 * 10 for i in range(400)} and len(got.inputFiles()) == 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_an_encoder_goes_with_its_task(monkeypatch):
+    """What the pipeline's last stage keeps for words is bounded by its own store, and nothing of it stays in a worker."""
+    bpe.load_bpe.cache_clear()
+    runs: list = []
+
+    class Docs:
+        sparkSession = None
+        schema = {"doc_id": type("f", (), {"dataType": type("t", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    monkeypatch.setattr(bpe, "tune", lambda spark: None)
+    bpe.bpe_encode(Docs())
+    texts = ["some words of a text", None, "others 12 don't"]
+    out = list(runs[0](iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts})])))
+    assert bpe.load_bpe.cache_info().currsize == 0
+    assert [r["ids"] for r in out[0].to_pylist()] == [np.frombuffer(e[1], "<u4").tolist() for e in bpe.load_bpe(bpe.MODEL).encode_batch([t or "" for t in texts])]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_links_given_out_join_components(seed):
     """Of a cell come links that join what is similar, none for a pair joined before; pairs of texts that come without their words are left to be aligned."""

@@ -27,12 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from trimlake.llm.common import TwoGenerations, tune
+from trimlake.llm.common import TwoGenerations, give_back, tune
 
 MODEL = "word_bpe_49k.json"
 #: Distinct words, and pieces between blanks, in a generation of a worker's store; pairs of tokens whose meeting is remembered.
 STORE = 250_000
 PAIRS = 3_000_000
+#: The same for the encoder that goes when its task ends.
+BRIEF_STORE = 60_000
 
 # Characters whose case, composition and class are the same in every version of Unicode, without controls that Python alone takes for white space: others take the library's own steps.
 _PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ‐-‧‰-⁞]*+")
@@ -50,7 +52,7 @@ def byte_alphabet() -> list[str]:
 class WordTrieBpe:
     """Encoder for a tokenizers file whose model is BPE with a mark at the end of a word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, store: int = STORE):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -67,8 +69,8 @@ class WordTrieBpe:
         self.bytes = byte_alphabet()
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self._beside: dict[int, bool] = {}
-        self.words = TwoGenerations(STORE)
-        self.pieces = TwoGenerations(STORE)
+        self.words = TwoGenerations(store)
+        self.pieces = TwoGenerations(store)
 
     def symbols(self, i: int) -> list[str]:
         token = self.tokens[i]
@@ -176,28 +178,38 @@ class WordTrieBpe:
         return out
 
 
-@lru_cache(maxsize=2)
-def load_bpe(model: str) -> WordTrieBpe:
+def new_bpe(model: str, store: int = STORE) -> WordTrieBpe:
     import public_tokenizers
 
-    return WordTrieBpe(model if "/" in model else public_tokenizers.path(model))
+    return WordTrieBpe(model if "/" in model else public_tokenizers.path(model), store)
 
 
-def _batches(b: pa.RecordBatch, model: str) -> list[tuple[int, bytes, str]]:
-    return load_bpe(model).encode_batch(["" if t is None else t for t in b.column("text").to_pylist()])
+@lru_cache(maxsize=2)
+def load_bpe(model: str) -> WordTrieBpe:
+    return new_bpe(model)
+
+
+def _batches(b: pa.RecordBatch, encoder: WordTrieBpe) -> list[tuple[int, bytes, str]]:
+    return encoder.encode_batch(["" if t is None else t for t in b.column("text").to_pylist()])
 
 
 def bpe_encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids (array of int), decoded: the encoding of every text, and what it decodes to."""
+    """doc_id, ids (array of int), decoded: the encoding of every text, and what it decodes to.
+
+    A stage among others: the encoder goes when a task ends, so that workers don't hold it in other stages.
+    """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = new_bpe(model, BRIEF_STORE)
         for b in batches:
-            rows = _batches(b, model)
+            rows = _batches(b, encoder)
             offsets = np.concatenate([[0], np.cumsum([r[0] for r in rows], dtype=np.int64)]).astype(np.int32)
             flat = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u4").astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array([r[2] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
+        del encoder
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
@@ -208,7 +220,7 @@ def bpe_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = _batches(b, model)
+            rows = _batches(b, load_bpe(model))
             sha = [[hashlib.sha256(x).hexdigest() for x in col] for col in ([r[1] for r in rows], [r[2].encode() for r in rows])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), *(pa.array(s, pa.string()) for s in sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

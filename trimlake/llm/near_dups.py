@@ -43,6 +43,8 @@ ROUNDS = 6
 #: Hashes of a text that are looked at together; nodes up to which those wanted are broadcast (8 bytes each), beyond that they are shuffled.
 BLOCK = 1 << 14
 BROADCAST_NODES = 200_000
+#: Rows of ids in a file of a written table: each file costs an executor two processes on a local disk (chmod), for a moment with all of its memory.
+FILE_ROWS = 1 << 16
 #: Bins of a text's words; texts of a bucket in a block; pairs compared at once; step from one class of lengths to the next (a little more than 1 / SIMILARITY).
 BINS = 256
 BLOCK_ROWS = 1024
@@ -366,27 +368,34 @@ def with_node(docs: DataFrame) -> DataFrame:
     return text.withColumn("node", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
 
 
+def _few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most so many rows, in no more partitions than these need."""
+    return df.coalesce(rows // FILE_ROWS + 1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. node, root for every node of a link: the least node of its component.
 
     Each round hooks every node to its least neighbour, shortens the hooks once, and contracts the links.
     """
-    links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    most = n = links.count()
+    links = cut(_few_files(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n))
     table = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
+        hook = cut(_few_files(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), 2 * n))
         far = hook.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        hook = cut(hook.join(far, "to").select("node", "root"))
+        hook = cut(_few_files(hook.join(far, "to").select("node", "root"), 2 * n))
         if table is None:
             table = hook
         else:
             step = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            table = cut(table.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            table = cut(_few_files(table.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), 2 * most))
         for side in ("a", "b"):
             links = links.join(hook.select(F.col("node").alias(side), F.col("root").alias("r")), side).drop(side).withColumnRenamed("r", side)
-        links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if links.isEmpty():
+        links = cut(_few_files(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n))
+        n = links.count()
+        if not n:
             return table
 
 
@@ -415,12 +424,13 @@ def classes(docs: DataFrame) -> DataFrame:
     members = nodes.select(F.explode("keys").alias("key"), F.struct("h", "id", "n_words").alias("m"))
     buckets = members.groupBy("key").agg(F.min("m").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     pool = cut(members.join(buckets, "key").select("key", "m", "lead"))  # buckets of two or more
+    n_nodes, n_pool = nodes.count(), pool.count()
     inside = nodes.select("id", "node").join(pool.select(F.col("m.id").alias("id")).distinct(), "id")
     known = cut(texts.groupBy("node").agg(F.first("text").alias("text")).join(inside, "node").select("id", "text"))
     # Each node with the leader that most of its buckets have, then with the others.
-    votes = cut(pool.where((F.col("lead.id") != F.col("m.id")) & _fits("m.n_words", "lead.n_words")).groupBy(F.col("m.id").alias("b"), "lead").agg(F.count("*").alias("n")))
+    votes = cut(_few_files(pool.where((F.col("lead.id") != F.col("m.id")) & _fits("m.n_words", "lead.n_words")).groupBy(F.col("m.id").alias("b"), "lead").agg(F.count("*").alias("n")), n_pool))
     best = votes.groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("lead"))).alias("best"))
-    tested = cut(best.select(F.col("best.lead.id").alias("a"), "b"))
+    tested = cut(_few_files(best.select(F.col("best.lead.id").alias("a"), "b"), n_nodes))
     links = _aligned(tested, known)
     comp = components(links)
 
@@ -441,19 +451,19 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = label.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rounds = [f"r{k}" for k in range(ROUNDS)]
     sent = [F.min(F.struct(F.xxhash64("m.h", "key", F.lit(r)).alias("h"), F.col("m"), F.col("comp"))).alias(r) for r in rounds]
-    label = cut(label.join(mixed, "key"))
-    one = cut(label.groupBy("key", "comp").agg(*sent).drop("comp"))
+    label = cut(_few_files(label.join(mixed, "key"), n_pool))
+    one = cut(_few_files(label.groupBy("key", "comp").agg(*sent).drop("comp"), n_pool))
     lead = one.groupBy("key").agg(*(F.min(r).alias(f"lead_{r}") for r in rounds))
     met = one.join(lead, "key").select(F.explode(F.array(*(F.struct(F.col(f"lead_{r}").alias("lead"), F.col(r).alias("sent")) for r in rounds))).alias("p")).select("p.*")
     met = met.where((F.col("lead.comp") != F.col("sent.comp")) & _fits("sent.m.n_words", "lead.m.n_words"))
-    met = cut(met.select(F.col("lead.m.id").alias("a"), F.col("sent.m.id").alias("b")).distinct().join(others, ["a", "b"], "left_anti"))
+    met = cut(_few_files(met.select(F.col("lead.m.id").alias("a"), F.col("sent.m.id").alias("b")).distinct().join(others, ["a", "b"], "left_anti"), ROUNDS * one.count()))
     if not met.isEmpty():
         links = cut(links.unionByName(_aligned(met, known)))
         comp = components(links)
     # What is still apart: all pairs of a bucket, but those that were aligned.
     label = label.select("key", "m.*", F.col("m.id").alias("b")).join(component("b"), "b", "left").select("key", "h", "id", "n_words", F.coalesce("root_b", "b").alias("comp"))
     mixed = label.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = cut(label.join(mixed, "key"))
+    rest = cut(_few_files(label.join(mixed, "key"), n_pool))
     hashes = known.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_hashes, "id long, words binary")
     rest = cut(rest.join(nodes.select("id", "bins", "keys").join(hashes, "id"), "id"))
     done = others.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
